@@ -11,13 +11,11 @@ import uuid
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Letters and digits of any script; what shingles and windows are made of.
-WORD = r"[\p{L}\p{N}]+"
-
 
 def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
@@ -74,17 +72,45 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def bloom_words(keys: DataFrame, column: str, bits: int = 1 << 26) -> np.ndarray:
-    """A Bloom filter of fixed size (two probes) over a long column, as int64 words; at most bits/64 rows reach the driver.
+def fence(column: Column) -> Column:
+    """``column``, which the optimizer may neither copy into a filter below nor inline: it is computed once a row."""
+    return F.when(F.rand(0) >= 0, column)
+
+
+BLOOM_BITS = 26
 
-    It only thins rows ahead of an exact join: once it is full it lets everything pass, and results stay the same.
+
+def bloom_words(keys: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of fixed size over a column of 64-bit hashes, as int64 words; two slices of the hash are its probes.
+
+    At most 2 ** 20 rows reach the driver. The filter only thins rows ahead of an exact join: once it is full it lets
+    everything pass, and results stay the same.
     """
-    probes = F.explode(F.array(*[F.pmod(F.xxhash64(column, F.lit(i)), F.lit(bits)) for i in (1, 2)]))
+    probes = F.explode(F.array(*[F.shiftright(column, i).bitwiseAND((1 << BLOOM_BITS) - 1) for i in (0, BLOOM_BITS)]))
     got = keys.select(probes.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("x")).toArrow()
-    words = np.zeros(bits // 64, np.int64)
+    words = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
     words[got["w"].to_numpy()] = got["x"].to_numpy()
     return words
 
 
-def slot(column: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(n))
+def in_bloom(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which int64 hashes may be in the filter."""
+    ok = np.ones(len(keys), bool)
+    for i in (0, BLOOM_BITS):
+        p = (keys >> i) & ((1 << BLOOM_BITS) - 1)
+        ok &= (words[p >> 6] >> (p & 63)) & 1 == 1
+    return ok
+
+
+def passing(df: DataFrame, column: str, words: np.ndarray) -> DataFrame:
+    """Rows whose 64-bit hash ``column`` (not null) may be in a filter of :func:`bloom_words`."""
+    cast = df.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def hit(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_bloom(cast.value, keys.to_numpy()))
+
+    return df.where(hit(column))
+
+
+by_value(__name__)
