@@ -284,3 +284,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, min_rate: float = 0
     classes = sig.select("doc_id", "node").join(named, "node", "left")
     class_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
     return classes.select("doc_id", class_id.alias("class_id"), F.coalesce(F.col("doc_id") == class_id, F.col("node").isNull()).alias("kept")), links
+
+
+def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each class: the one of the smallest doc_id (rows without an id stay)."""
+    classes, _ = near_duplicates(docs, threshold)
+    marked = classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows"))
+    out = stage(marked.where("not _kept or _rows > 1"), "not-kept")
+    once = docs.join(out, F.col("doc_id") == F.col("_id"), "left_anti")
+    repeated = out.where("_kept and _rows > 1")
+    if not repeated.head(1):
+        return once
+    return once.unionByName(docs.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
