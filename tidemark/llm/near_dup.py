@@ -9,8 +9,9 @@ counts them. Their number is bounded by mean length / min_rate whatever the inpu
 Each text gets ``BANDS * ROWS`` samples (shingle, t). Texts that share a band are candidates, dropped unless about
 ``floor`` of all samples agree, then verified by exact weighted Jaccard similarity from the whole texts. Equal texts are
 one node throughout. In a bucket of many texts all are first held against the most central one; what is in one
-component after that needs no pair, and the rest are compared across components. So a group of thousands of copies
-costs a star, not all pairs, and no link between components is lost.
+component after that needs no pair, and the rest are compared across components, unless too much of a text's weight is in
+shingles that no other text has: a pair can share no more than what either shares with any text. So a group of thousands
+of copies costs a star, not all pairs, and no link between components is lost.
 
 Defined cases: a null text is alone; texts without words match equal texts only; repeated rows share their class; the
 class id is the smallest doc_id of the class (null if all are null). Only doc_id and text are read; other columns stay
@@ -34,7 +35,8 @@ by_value(__name__)
 
 WORDS, BANDS, ROWS, TABLE_BITS, LANE_BITS = 5, 16, 4, 14, 15
 SAMPLES = BANDS * ROWS
-SMALL, FLOOR = 16, 0.62
+SMALL, FLOOR = 48, 0.62
+PLANE_BITS, SEGMENTS = 26, 256
 FIND = re.compile(r"[^\W_]+").findall
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 CACHE_WORDS, CHUNK = 400_000, 300_000
@@ -238,6 +240,67 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: fl
     return both.mapInArrow(similar, "u long, v long, similarity double")
 
 
+def repeated_plane(texts: DataFrame) -> np.ndarray:
+    """Packed bits by the top ``PLANE_BITS`` of a shingle's hash: whether two or more of the distinct ``texts`` have it.
+
+    The size is fixed. Two shingles in one place look repeated, which only weakens the bound made of it.
+    """
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = (1 << PLANE_BITS) // SEGMENTS
+
+    def locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, once, again = WordHashes(), np.zeros(1 << PLANE_BITS, bool), np.zeros(1 << PLANE_BITS, bool)
+        for batch in batches:
+            for text in batch["text"].to_pylist():
+                at = np.unique(shingles(FIND(text.lower()), hashes) >> np.uint64(64 - PLANE_BITS)).astype(np.int64)
+                again[at[once[at]]] = True
+                once[at] = True
+        for i in range(SEGMENTS):
+            part = slice(i * size, (i + 1) * size)
+            if once[part].any():
+                yield pa.record_batch([pa.array([i]), *(pa.array([np.packbits(x[part]).tobytes()]) for x in (once, again))], ["segment", "once", "again"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, once, again = -1, np.zeros(0, np.uint8), np.zeros(0, np.uint8)
+        for batch in batches:
+            for i, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                if i != at:
+                    if at >= 0:
+                        yield pa.record_batch([pa.array([at]), pa.array([again.tobytes()])], ["segment", "again"])
+                    at, once, again = i, x, y
+                else:
+                    once, again = once | x, again | y | (once & x)
+        if at >= 0:
+            yield pa.record_batch([pa.array([at]), pa.array([again.tobytes()])], ["segment", "again"])
+
+    parts = texts.select("text").mapInArrow(locally, "segment long, once binary, again binary")
+    parts = parts.repartition(min(n, SEGMENTS), "segment").sortWithinPartitions("segment").mapInArrow(merged, "segment long, again binary")
+    plane = np.zeros((SEGMENTS, size // 8), np.uint8)
+    for r in parts.collect():
+        plane[r["segment"]] = np.frombuffer(bytes(r["again"]), np.uint8)
+    return plane.ravel()
+
+
+def shared_weights(texts: DataFrame, weights: Weights) -> DataFrame:
+    """(node, total, shared): the weight of each text's shingles, and of those that another of the texts may have too."""
+    plane = texts.sparkSession.sparkContext.broadcast(repeated_plane(texts))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            out = []
+            for node, text in zip(batch["node"].to_pylist(), batch["text"].to_pylist()):
+                h, n = np.unique(shingles(FIND(text.lower()), hashes), return_counts=True)
+                w, at = weights(short(h), n), (h >> np.uint64(64 - PLANE_BITS)).astype(np.int64)
+                again = plane.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
+                out.append((node, float(w.sum()), float(w[again == 1].sum())))
+            if out:
+                yield pa.record_batch([pa.array(c) for c in zip(*out)], ["node", "total", "shared"])
+
+    return texts.select("node", "text").mapInArrow(weighed, "node long, total double, shared double")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, min_rate: float = 0.02) -> tuple[DataFrame, DataFrame]:
     """(classes, links): classes has (doc_id, class_id, kept) for every row of ``docs``, links (u, v, similarity) between
     the texts' hashes. ``kept`` marks the row that stands for its class."""
@@ -274,7 +337,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, min_rate: float = 0
     mixed = grouped.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     rest = stage(grouped.select("bucket", "node", "comp", "lanes").join(mixed, "bucket", "left_semi"), "rest")
     if rest.head(1):
-        more = side(rest, "a").join(side(rest, "b"), "bucket").where(ordered & (F.col("a_comp") != F.col("b_comp")) & near)
+        # what two texts have in common is at most what either shares with any text, so a similar pair needs that much
+        held = stage(shared_weights(texts.join(rest.select("node").distinct(), "node", "left_semi"), weights), "held")
+        rest = rest.join(held.where(F.col("shared") >= threshold * F.col("total") - 1e-9), "node")
+        enough = F.least("a_shared", "b_shared") >= threshold / (1 + threshold) * (F.col("a_total") + F.col("b_total")) - 1e-9
+        more = side(rest, "a").join(side(rest, "b"), "bucket").where(ordered & (F.col("a_comp") != F.col("b_comp")) & enough & near)
         more = more.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
         links = stage(links.union(verified(stage(more, "more"), texts, weights, threshold)), "links")
         comps = connected_components(links)
