@@ -18,6 +18,8 @@ an empty benchmark or table gives an empty result. Only id and text are read, so
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,10 +73,10 @@ def template_rows(df: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("raw", fence(F.col("raw"))).withColumn("tokens", fence(F.expr(typed)))
 
 
-def windows_of(rows: DataFrame, key: str, lengths: list[int], kept: Column | None, whole_if_short: bool) -> DataFrame:
+def windows_of(rows: DataFrame, key: str, lengths: list[int], kept: Callable[[Column], Column] | None, whole_if_short: bool) -> DataFrame:
     """(key, pos, h, slots, n): windows of the given lengths, their hash, and the raw values of their placeholders.
 
-    ``kept`` is SQL over h that says which hashes are wanted; ``whole_if_short`` makes one window of a row that is
+    ``kept`` says which hashes are wanted; ``whole_if_short`` makes one window of a row that is
     shorter than the longest.
     """
     longest = max(lengths)
@@ -115,17 +117,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
     lengths = sorted({*sizes, window})
     known = stage(windows_of(items, "item_id", lengths, None, True).dropDuplicates(["item_id", "pos", "h"]), "item-windows")
     count = known.count()
-    probe = F.lit(False)
-    bitmap_of = None
-    if count <= BROADCAST_ROWS:  # else every window is exploded and joined by shuffle
-        hashes = np.array([r["h"] for r in known.select("h").distinct().collect()], np.int64)
-        bitmap_of = bitmap(hashes)
-    if bitmap_of:
-        words, bits = bitmap_of
+    probe = None  # above the bound every window is exploded and joined by shuffle
+    if count <= BROADCAST_ROWS:
+        words, bits = bitmap(np.array([r["h"] for r in known.select("h").distinct().collect()], np.int64))
         bit = lambda h: F.getbit(F.element_at(words, (F.shiftright(h.bitwiseAND(bits - 1), 6) + 1).cast("int")), h.bitwiseAND(63)) == 1
         probe = lambda h: bit(h) & bit(F.shiftright(h, 32))
-    else:
-        probe = None
     hits = windows_of(template_rows(docs.select("doc_id", "text"), "doc_id"), "doc_id", lengths, probe, False)
     of_item = known.select("item_id", F.col("pos").alias("item_pos"), "size", "h", F.col("slots").alias("item_slots"))
     joined = hits.join(F.broadcast(of_item) if count <= BROADCAST_ROWS else of_item, ["h", "size"])
@@ -146,6 +142,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose document is contaminated by any item."""
+    """``docs`` without the rows whose document is contaminated by any item; rows without an id stay."""
     bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")

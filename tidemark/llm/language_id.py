@@ -6,8 +6,8 @@ own with each dictionary, so that a long text cannot become its own dictionary.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0 and is rejected; equal sizes (very short
 texts) go to the language whose dictionary holds the text's letter triples most often, then to the smaller name;
-without any labelled row every text is ``und``. Repeated rows stay; other columns are carried unchanged (a clash with
-an output column is an error of the caller, who renames).
+without any labelled row every text is ``und``. Repeated rows stay; other columns are carried, but for those of an
+output's name, which ``predict`` replaces.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from .common import by_value
 
 by_value(__name__)
 
-LEVEL, SEPARATOR = 6, b" "
+LEVEL, SEPARATOR, CHUNK, MIN_MARGIN = 6, b" ", 4096, 0.01
 
 
 def letters_of(text: str) -> bytes:
@@ -82,10 +82,8 @@ class Coders:
         return sizes[0][1], 1 - sizes[0][0] / sizes[1][0]
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], chunk: int = 4096, min_margin: float = 0.01) -> DataFrame:
-    """``docs`` plus lang_pred string, score double (0 to 1) and rejected boolean (margin under ``min_margin`` or ``und``)."""
-    if clash := {"lang_pred", "score", "rejected"} & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+def guessed(docs: DataFrame, dictionaries: dict[str, bytes], chunk: int) -> DataFrame:
+    """``docs`` plus _guess struct(lang_pred, margin)."""
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("margin", T.DoubleType())]))
     def guess(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -93,13 +91,23 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], chunk: int = 4096,
         for batch in texts:
             yield pd.DataFrame([coders.predict(x) for x in batch], columns=["lang_pred", "margin"])
 
-    got = docs.withColumn("_guess", guess("text"))
-    return got.select(
-        *docs.columns,
-        F.col("_guess.lang_pred").alias("lang_pred"),
-        F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_guess.margin"))).alias("score"),
-        ((F.col("_guess.lang_pred") == "und") | (F.col("_guess.margin") < min_margin)).alias("rejected"),
-    )
+    return docs.withColumn("_guess", guess("text"))
+
+
+def narrow(min_margin: float) -> Column:
+    return (F.col("_guess.lang_pred") == "und") | (F.col("_guess.margin") < min_margin)
+
+
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], chunk: int = CHUNK, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """``docs`` plus lang_pred string, score double (0 to 1) and rejected boolean (margin under ``min_margin`` or ``und``)."""
+    score = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_guess.margin")))
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
+    return guessed(docs, dictionaries, chunk).select(*kept, F.col("_guess.lang_pred").alias("lang_pred"), score.alias("score"), narrow(min_margin).alias("rejected"))
+
+
+def keep_sure(docs: DataFrame, dictionaries: dict[str, bytes], chunk: int = CHUNK, min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of ``docs`` that are not rejected, with their columns."""
+    return guessed(docs, dictionaries, chunk).where(~narrow(min_margin)).select(*docs.columns)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

@@ -11,8 +11,8 @@ What the driver holds is bounded by the number of probes, not by the data. The c
 of (hash, doc_id, size).
 
 Defined cases: a null text has size 1 and is not equal to an empty one; null ids sort as 0; repeated rows with one id and
-text stay in one cell and are numbered in it; an empty table gives an empty result. Columns other than the outputs are
-carried; a clash with an output name is an error.
+text stay in one cell and are numbered in it; an empty table gives an empty result. Other columns are carried, but for
+those of an output's name, which are replaced.
 """
 
 from __future__ import annotations
@@ -106,8 +106,7 @@ def refined(keys: DataFrame, shards: int, tolerance: float, group_tolerance: flo
 
 def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.001, group_tolerance: float = 0.01) -> DataFrame:
     """``docs`` plus size, text_crc32, law ('bytes'), shard, slot (gapless from 0 in each shard) and grown_shard (null)."""
-    if clash := set(OUTPUT) & set(docs.columns):
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    docs = docs.drop(*OUTPUT)
     keyed = docs.withColumns(key_columns())
     keys = stage(keyed.select("_k", "_d", "size"), "shard-keys")
     cells, firsts, (low, width) = refined(keys, shards, tolerance, group_tolerance)

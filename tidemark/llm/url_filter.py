@@ -47,6 +47,7 @@ https://docs.example.org/manual/chapter/3 http://wiki.example.net/history/of/bre
 https://school.example.com/lessons/algebra http://journal.example.org/volume/7/issue/2 https://hiking.example.net/trails/es/21 http://music.example.com/scores/bach https://health.example.org/en/nutrition
 http://city.example.net/council/minutes https://theatre.example.com/program/fr/9 http://chess.example.org/openings/de/4 https://books.example.net/review/en/311 http://photos.example.com/birds/17
 https://www.andthe.example.com/en/7015 http://ondhat.example.net/de/811 https://enbler.example.org/es/90 http://m.oustha.example.com/fr/64/ https://blog.leaing.example.org/en/2048
+http://a.com http://b.org/ https://x.net https://news.com http://uni.edu/ https://my.blog.com/ http://www.example.com http://example.org/ https://example.net http://c.de/ https://d.fr http://town.es
 """.split()
 TRAINING = [(u, 1) for u in BLOCKED] + [(u, 0) for u in ALLOWED]
 
@@ -121,5 +122,5 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshol
         return pd.Series([probability(h, p, weights, bias) for h, p in zip(hosts, paths)], dtype=float)
 
     rows = rows.select("*", pick(lambda r: r[0] + r[1]).alias("rule"), pick(lambda r: r[2]).alias("ruled"), chance("host", "path").alias("probability"))
-    verdict = F.coalesce("ruled", F.when(F.col("probability") >= threshold, "block").otherwise("allow"))
+    verdict = F.coalesce("ruled", F.when(F.col("probability") > threshold, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "probability")
