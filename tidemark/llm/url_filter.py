@@ -37,6 +37,13 @@ http://replica-watches.example.com/sale https://payday-loans.example.net/apply/n
 http://clickbait-news.example.net/shock/1 https://malware-host.example.org/setup.exe http://phishing-login.example.com/bank/verify https://warez-crack.example.net/keygen
 http://poker-jackpot.example.com/de/3 https://slots-jackpot.example.org/es/8 http://escort-dates.example.net/fr/1 https://hot-singles.example.com/en/6
 http://lottery-winner.example.org/claim https://miracle-diet.example.net/en/4 http://get-rich-quick.example.com/de/5 https://torrent-pirate.example.org/fr/7
+https://link-spam.example.net/de/4 http://m.spam-site.example.org/en/31 https://pills-cheap.example.org/fr/6 http://www.diet-pills.example.com/es/2 http://casino-jackpot.example.com/en/8
+https://m.casino-bonus.example.net/fr/41 http://www.adult-dating.example.org/en/6 https://adult-cams.example.net/de/77 https://free-casino.example.com/fr/2 http://www.free-slots.example.net/en/70
+http://sports-bets.example.com/en/18 https://blog.ads-network.example.net/es/5 http://popunder-ads.example.org/fr/11 https://track-ads.example.com/de/63 http://replica-bags.example.net/fr/9
+https://www.cheap-replica.example.org/en/12 http://quick-loans.example.com/de/1 https://payday-cash.example.org/es/7 http://cheap-viagra.example.net/fr/3 https://crypto-win.example.org/en/90
+http://free-crypto.example.com/de/15 https://shock-clickbait.example.com/fr/4 http://malware-free.example.net/en/13 https://phishing-bank.example.com/es/20 http://warez-free.example.org/de/33
+https://crack-warez.example.com/fr/8 http://poker-win.example.net/es/14 https://online-poker.example.org/en/51 http://hot-escort.example.com/de/29 https://escort-girls.example.net/en/3
+http://singles-dating.example.org/fr/10 https://lottery-win.example.com/en/66 http://free-lottery.example.net/de/38 https://miracle-pills.example.com/es/19 http://rich-quick-win.example.org/fr/23
 """.split()
 ALLOWED = """
 http://ththre.example.com/fr/825?page=2 https://m.therth.example.net/en/25 https://thther.example.org/en/685 http://therha.example.com/de/676 https://therin.example.net/en/770
