@@ -161,7 +161,11 @@ def test_edit_distance():
 def brute_line_groups(rows):
     seen = [(d, i, w) for d, t in rows if d is not None and t is not None for i, w in line_dedup.line_words(t, line_dedup.MIN_WORDS)]
     hashes = near_dup.WordHashes()
-    sim = [line_dedup.simhashes(np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w)), np.array([0]))[0] for _, _, w in seen]
+    sim = []
+    for _, _, w in seen:
+        h = [hashes[x] for x in line_dedup.features(w)]
+        bits = sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
+        sim.append(bits - (1 << 64) if bits >> 63 else bits)
     up = list(range(len(seen)))
 
     def top(x):
@@ -172,7 +176,7 @@ def brute_line_groups(rows):
     for i in range(len(seen)):
         for j in range(i):
             a, b = seen[i][2], seen[j][2]
-            if a == b or np.bitwise_count(sim[i] ^ sim[j]) <= 3 and line_dedup.edit_distance(a, b) <= 0.2 * max(len(a), len(b)):
+            if a == b or bin((sim[i] ^ sim[j]) & (1 << 64) - 1).count("1") <= 3 and line_dedup.edit_distance(a, b) <= 0.2 * max(len(a), len(b)):
                 up[top(i)] = top(j)
     groups = defaultdict(set)
     for i, (d, line, _) in enumerate(seen):

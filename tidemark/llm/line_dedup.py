@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_words, by_value, connected_components, in_bloom, stage
+from .common import bloom_words, by_value, connected_components, in_bloom, passing, stage
 from .near_dup import FIND, WordHashes
 
 by_value(__name__)
@@ -47,11 +47,27 @@ def line_key(words: list[str]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def features(words: list[str]) -> list[str]:
+    """What a line's SimHash is made of: its words of five letters or more, or all words where there are none.
+
+    Short words are mostly the same few in every line; with them, the hashes of unrelated lines would agree in many bits.
+    """
+    return [w for w in words if len(w) > 4] or words
+
+
+#: The bits of a byte, each in a lane of eight bits.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+
 def simhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """int64 SimHashes of the segments of uint64 word hashes that begin at starts."""
-    ones = np.add.reduceat(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1), starts, axis=0, dtype=np.int32)
-    n = np.diff(starts, append=len(hashes))[:, None]
-    return np.packbits(2 * ones > n, axis=1).view(np.int64).ravel()
+    """int64 SimHashes of the segments of uint64 word hashes that begin at starts; a bit is set if most hashes have it."""
+    n = np.diff(starts, append=len(hashes))
+    most = int(n.max())
+    # lanes hold up to 255, so longer segments are added up in parts
+    cuts = np.concatenate([np.arange(s, s + m, 255) for s, m in zip(starts, n)]) if most > 255 else starts
+    parts = np.add.reduceat(LANES[hashes.view(np.uint8).reshape(-1, 8)], cuts, axis=0).view(np.uint8).reshape(len(cuts), 64)
+    ones = np.add.reduceat(parts, np.searchsorted(cuts, starts), axis=0, dtype=np.int32) if most > 255 else parts.astype(np.int32)
+    return np.packbits(2 * ones > n[:, None], axis=1).view(np.int64).ravel()
 
 
 def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
@@ -59,22 +75,23 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        out, parts, n = [], [], 0
+        out: list[tuple[int, int, int]] = []
+        flat: list[int] = []
+        starts: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            h = np.fromiter((x for p in parts for x in p), np.uint64, n)
-            starts = np.cumsum([0, *map(len, parts[:-1])])
-            return pa.record_batch([*(pa.array(c, pa.int64()) for c in zip(*out)), pa.array(simhashes(h, starts))], ["doc_id", "line", "key", "sim"])
+            sims = simhashes(np.fromiter(flat, np.uint64, len(flat)), np.array(starts))
+            return pa.record_batch([*(pa.array(c, pa.int64()) for c in zip(*out)), pa.array(sims)], ["doc_id", "line", "key", "sim"])
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 for i, words in line_words(text, min_words):
                     out.append((doc_id, i, line_key(words)))
-                    parts.append(list(map(hashes.__getitem__, words)))
-                    n += len(words)
-                    if n >= 100_000:
+                    starts.append(len(flat))
+                    flat.extend(map(hashes.__getitem__, features(words)))
+                    if len(flat) >= 60_000:
                         yield flush()
-                        out, parts, n = [], [], 0
+                        out, flat, starts = [], [], []
         if out:
             yield flush()
 
@@ -94,14 +111,18 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of each run of rows with one bucket."""
+    """Columns of each run of rows with one bucket; runs of one row may be left out."""
     held: list[dict[str, np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = {n: batch[n].to_numpy(zero_copy_only=False) for n in batch.schema.names}
+        same = np.flatnonzero(np.diff(cols["bucket"]) == 0)
+        # rows alone in their bucket go at once; at the ends of a batch that is not known yet
+        some = np.unique(np.concatenate([[0], same, same + 1, [batch.num_rows - 1]]))
+        cols = {n: c[some] for n, c in cols.items()}
         cuts = np.flatnonzero(np.diff(cols["bucket"])) + 1
-        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+        for a, b in zip([0, *cuts], [*cuts, len(some)]):
             part = {n: c[a:b] for n, c in cols.items()}
             if held and held[0]["bucket"][0] != part["bucket"][0]:
                 yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
@@ -208,25 +229,28 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return first.join(texts.select(F.col("key").alias("u"), F.col("words").alias("x")), "u").select("u", "v", "x", "y").mapInArrow(similar, "u long, v long")
 
 
-def texts_of(docs: DataFrame, keys: DataFrame, min_words: int) -> DataFrame:
-    """(key, words) of the lines in ``keys``, read again from the documents; other lines are left where they are."""
-    cast = docs.sparkSession.sparkContext.broadcast(bloom_words(keys, "key"))
+def texts_of(docs: DataFrame, keys: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
+    """(key, words) of the lines in ``keys``, read again from the documents in which they are first; only those documents
+    are split again, and only those lines leave them."""
+    wanted = stage(lines.join(keys, "key", "left_semi").select("key", F.xxhash64("first.doc_id").alias("doc")), "wanted")
+    cast = docs.sparkSession.sparkContext.broadcast(bloom_words(wanted, "key"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            lines = [(line_key(w), w) for text in batch["text"].to_pylist() for _, w in line_words(text, min_words)]
-            if not lines:
+            rows = [(line_key(w), w) for text in batch["text"].to_pylist() for _, w in line_words(text, min_words)]
+            if not rows:
                 continue
-            ok = in_bloom(cast.value, np.array([k for k, _ in lines], np.int64))
-            got = {k: " ".join(w) for (k, w), yes in zip(lines, ok) if yes and k not in seen}
+            ok = in_bloom(cast.value, np.array([k for k, _ in rows], np.int64))
+            got = {k: " ".join(w) for (k, w), yes in zip(rows, ok) if yes and k not in seen}
             if len(seen) > 200_000:
                 seen.clear()
             seen.update(got)
             yield pa.record_batch([pa.array(got.keys(), pa.int64()), pa.array(got.values(), pa.string())], ["key", "words"])
 
-    rows = docs.where("doc_id is not null and text is not null").select("text")
-    return rows.mapInArrow(found, "key long, words string").join(keys.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    rows = docs.where("doc_id is not null and text is not null").select(F.xxhash64(F.col("doc_id").cast("long")).alias("doc"), "text")
+    rows = passing(rows, "doc", bloom_words(wanted, "doc")).select("text")
+    return rows.mapInArrow(found, "key long, words string").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
@@ -241,7 +265,7 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = M
     pairs = stage(found.where("not mark").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
     crowded = found.where("mark").select("bucket", F.col("u").alias("key"), F.col("v").alias("sim"))
     keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).union(crowded.select("key")).distinct()
-    texts = stage(texts_of(docs, keys, min_words), "texts")
+    texts = stage(texts_of(docs, keys, lines, min_words), "texts")
     links = stage(verified(pairs, texts, similarity), "links")
     comps = connected_components(links)
     if crowded.head(1):
