@@ -3,7 +3,9 @@ then exact reranking of the rows in the leaves found.
 
 The trees are fitted on a bounded sample of distinct vectors (``sample``, by smallest hash); every row is indexed. Equal
 vectors are one class that keeps its k + 1 smallest ids, which is all that can be among k neighbours. A query walks all
-trees at once by the smallest margin to a hyperplane until its leaves hold ``share`` of all classes (``least`` at least).
+trees at once by the smallest margin to a hyperplane until its leaves hold as many rows, over all trees, as ``share`` of
+all classes (``least`` at least). On vectors without structure in 64 dimensions 0.45 gives a recall of 0.9 and more; where
+neighbours are nearer than that, much less does.
 Rows and visiting queries meet by (tree, leaf, block): leaves are cut into blocks of bounded size, so a leaf of any size
 is worked on by many tasks, and each block scores its queries by one matrix product at a time.
 
@@ -27,7 +29,7 @@ from .common import by_value, stage
 
 by_value(__name__)
 
-TREES, SAMPLE, LEAF, BLOCK = 12, 20_000, 24, 4096
+TREES, SAMPLE, LEAF, BLOCK, SHARE = 24, 20_000, 24, 4096, 0.45
 
 
 class Forest:
@@ -99,8 +101,9 @@ def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding array<double>) of the rows that take part, once each."""
-    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    """(vec_id, embedding) of the rows that take part; floats stay floats until they are computed with."""
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("embedding"))
     fine = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
     x = x.where(fine)
     common = x.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -108,14 +111,15 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     return flat.reshape(len(column), -1)
 
 
-def neighbours(vectors: DataFrame, is_query: str, k: int = 5, trees: int = TREES, sample: int = SAMPLE, share: float = 0.1, least: int = 4000) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: str, k: int = 5, trees: int = TREES, sample: int = SAMPLE, share: float = SHARE, least: int = 4000) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row that the SQL condition ``is_query`` selects."""
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = usable(vectors).withColumn("key", F.xxhash64("embedding"))
+    kind = rows.schema["embedding"].dataType.simpleString()
     rows = rows.dropDuplicates(["vec_id", "key"])
     nth = F.row_number().over(Window.partitionBy("key", "embedding").orderBy("vec_id"))
     least_ids = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1)
@@ -133,7 +137,7 @@ def neighbours(vectors: DataFrame, is_query: str, k: int = 5, trees: int = TREES
             for t in range(len(forest.value.trees)):
                 yield pa.record_batch([pa.array(np.full(len(x), t)), pa.array(forest.value.leaves_of(unit, t)), batch["key"], batch["embedding"]], ["tree", "leaf", "key", "embedding"])
 
-    index = classes.select("key", "embedding").mapInArrow(indexed, "tree long, leaf long, key long, embedding array<double>")
+    index = classes.select("key", "embedding").mapInArrow(indexed, f"tree long, leaf long, key long, embedding {kind}")
     leaf_sizes = {(r["tree"], r["leaf"]): r["count"] for r in index.groupBy("tree", "leaf").count().collect()}
     sizes = vectors.sparkSession.sparkContext.broadcast(leaf_sizes)
     wanted = max(least, int(share * total))
@@ -144,7 +148,7 @@ def neighbours(vectors: DataFrame, is_query: str, k: int = 5, trees: int = TREES
             for i, q in enumerate(batch["vec_id"].to_pylist()):
                 found = forest.value.search(x[i] / np.linalg.norm(x[i]), sizes.value, wanted)
                 blocks = [(t, leaf, b) for t, leaf in found for b in range(-(-sizes.value[t, leaf] // BLOCK))]
-                same = pa.array([x[i]] * len(blocks), pa.list_(pa.float64()))
+                same = batch["embedding"].take(pa.array([i] * len(blocks)))
                 yield pa.record_batch([*(pa.array(c, pa.int64()) for c in zip(*blocks)), pa.array([q] * len(blocks), pa.int64()), same], ["tree", "leaf", "block", "key", "embedding"])
 
     @F.pandas_udf("long")
@@ -153,7 +157,7 @@ def neighbours(vectors: DataFrame, is_query: str, k: int = 5, trees: int = TREES
         return pd.Series((key.to_numpy() >> 7) % blocks)
 
     queries = rows.where(is_query).select("vec_id", "embedding").dropDuplicates(["vec_id"])
-    visits = queries.repartition(n, "vec_id").mapInArrow(visiting, "tree long, leaf long, block long, key long, embedding array<double>")
+    visits = queries.repartition(n, "vec_id").mapInArrow(visiting, f"tree long, leaf long, block long, key long, embedding {kind}")
     both = index.withColumn("block", blocks_of("tree", "leaf", "key")).select("tree", "leaf", "block", "key", "embedding", F.lit(0).alias("asks")).union(visits.select("*", F.lit(1).alias("asks")))
     bucket = F.xxhash64("tree", "leaf", "block")
     dealt = both.select(bucket.alias("bucket"), "asks", "key", "embedding").repartition(n, "bucket").sortWithinPartitions("bucket", "asks")
