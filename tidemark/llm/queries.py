@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, language_id, license_scan, line_dedup, near_dup, packing, sharding, url_filter, warc
+from . import ann, decontam, language_id, license_scan, line_dedup, near_dup, oracles, packing, sharding, url_filter, warc
 from .common import table
 
 
@@ -52,7 +52,7 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revisits of the pages, with a digest of the payload and the headers as sorted text."""
     out = warc.resolve(warc.crawl_of(table(spark, sf_dir, "pages")))
     headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
-    return out.select("record_id", "url_key", "response_id", "outcome", "status", headers.alias("headers"), F.crc32(F.col("payload").cast("binary")).alias("payload_crc32"))
+    return out.select("record_id", "url_key", "response_id", "outcome", "status", headers.alias("headers"), F.md5("payload").alias("payload_md5"))
 
 
 QUERIES = {
@@ -69,4 +69,8 @@ QUERIES = {
 }
 
 #: DuckDB SQL by query, where SQL can express it.
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_decontamination": oracles.decontamination(),
+    "op2_license_scan": oracles.license_labels(),
+    "op10_warc_revisits": oracles.revisits(),
+}
