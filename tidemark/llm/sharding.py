@@ -81,7 +81,7 @@ def refined(keys: DataFrame, shards: int, tolerance: float, group_tolerance: flo
     base = whole["k0"], (whole["k1"] - whole["k0"]) // FIRST_PROBES + 1
     root = Cell(-1, total, whole["rows"], whole["k0"], max(whole["k1"], whole["k0"] + 1), whole["d0"], whole["d1"])
     cells = counted(keys, [root], FIRST_PROBES)[0]
-    most_rows = max(10_000, 4 * whole["rows"] // CELLS)
+    most_rows = max(200, 4 * whole["rows"] // CELLS)
     while True:
         ends, at = [], 0
         for c in cells:
