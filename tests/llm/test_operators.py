@@ -160,10 +160,9 @@ def test_edit_distance():
 
 def brute_line_groups(rows):
     seen = [(d, i, w) for d, t in rows if d is not None and t is not None for i, w in line_dedup.line_words(t, line_dedup.MIN_WORDS)]
-    hashes = near_dup.WordHashes()
     sim = []
     for _, _, w in seen:
-        h = [hashes[x] for x in line_dedup.features(w)]
+        h = near_dup.word_hashes(line_dedup.features(w)).tolist()
         bits = sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
         sim.append(bits - (1 << 64) if bits >> 63 else bits)
     up = list(range(len(seen)))
@@ -296,7 +295,7 @@ def brute_classes(rows):
     bags = {}
     for d, t in rows:
         if t is not None:
-            w = near_dup.FIND(t.lower())
+            w = re.findall(r"[^\W_]+", t.lower())
             bags[d] = Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter({("", t): 1})
     df = Counter(s for b in bags.values() for s in b)
     n = len(rows)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bloom_words, by_value, connected_components, in_bloom, passing, stage
-from .near_dup import FIND, WordHashes
+from .near_dup import words_of
 
 by_value(__name__)
 
@@ -37,13 +37,13 @@ MIN_WORDS = 5
 
 def line_words(text: str, min_words: int) -> Iterator[tuple[int, list[str]]]:
     for i, line in enumerate(text.split("\n")):
-        words = FIND(line.lower())
+        words = words_of(line)
         if len(words) >= min_words:
             yield i, words
 
 
 def line_key(words: list[str]) -> int:
-    h = xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "replace"))
+    h = xxhash.xxh64_intdigest(" ".join(words))
     return h - (1 << 64) if h >> 63 else h
 
 
@@ -74,7 +74,6 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, line, key, sim) of every line that takes part."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         out: list[tuple[int, int, int]] = []
         flat: list[int] = []
         starts: list[int] = []
@@ -88,7 +87,7 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
                 for i, words in line_words(text, min_words):
                     out.append((doc_id, i, line_key(words)))
                     starts.append(len(flat))
-                    flat.extend(map(hashes.__getitem__, features(words)))
+                    flat.extend(map(xxhash.xxh3_64_intdigest, features(words)))
                     if len(flat) >= 60_000:
                         yield flush()
                         out, flat, starts = [], [], []

@@ -37,24 +37,23 @@ WORDS, BANDS, ROWS, TABLE_BITS, LANE_BITS = 5, 16, 4, 14, 15
 SAMPLES = BANDS * ROWS
 SMALL, FLOOR = 48, 0.62
 PLANE_BITS, SEGMENTS = 26, 256
-FIND = re.compile(r"[^\W_]+").findall
+FIND = re.compile(r"\w+").findall
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-CACHE_WORDS, CHUNK = 400_000, 300_000
+CHUNK = 300_000
 
 
-class WordHashes(dict):
-    """64-bit hashes by word, remembered up to a bound."""
+def words_of(text: str) -> list[str]:
+    """Runs of letters and digits, in lower case."""
+    return FIND(text.lower().replace("_", " "))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "replace"))
-        return h
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
-def shingles(words: list[str], hashes: WordHashes) -> np.ndarray:
+
+def shingles(words: list[str]) -> np.ndarray:
     """uint64 hashes of the shingles, in text order."""
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(words)
     n = len(h) - WORDS + 1
     if n < 1:
         out = np.array([(h * ODD[: len(h)]).sum(dtype=np.uint64) + np.uint64(len(h))], np.uint64) if len(h) else h
@@ -68,13 +67,13 @@ def shingles(words: list[str], hashes: WordHashes) -> np.ndarray:
 
 def chunks(batches: Iterator[pa.RecordBatch], at_least: int) -> Iterator[tuple[list, list[np.ndarray], list]]:
     """(other columns, shingles, word lists' hashes) of runs of rows with about ``at_least`` shingles."""
-    hashes, rows, parts, nodes, n = WordHashes(), [], [], [], 0
+    rows, parts, nodes, n = [], [], [], 0
     for batch in batches:
         for row in batch.to_pylist():
             text = row.pop("text")
-            words = FIND(text.lower()) if text is not None else []
-            s = shingles(words, hashes)
-            node = None if text is None else xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "replace") if words else b"\0" + text.encode("utf-8", "replace"))
+            words = words_of(text) if text is not None else []
+            s = shingles(words)
+            node = None if text is None else xxhash.xxh64_intdigest(" ".join(words) if words else "\0" + text)
             rows.append(row), parts.append(s), nodes.append(node)
             n += len(s)
             if n >= at_least:
@@ -213,13 +212,13 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: fl
     """(u, v, similarity) of the pairs (u, v) whose texts (node, text) have weighted Jaccard similarity ``threshold`` or more."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), {}
+        seen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
         def bag(node: int, text: str) -> tuple[np.ndarray, np.ndarray]:
             if node not in seen:
                 if len(seen) >= 64:
                     seen.clear()
-                h, n = np.unique(shingles(FIND(text.lower()), hashes), return_counts=True)
+                h, n = np.unique(shingles(words_of(text)), return_counts=True)
                 seen[node] = h, weights(short(h), n)
             return seen[node]
 
@@ -249,10 +248,10 @@ def repeated_plane(texts: DataFrame) -> np.ndarray:
     size = (1 << PLANE_BITS) // SEGMENTS
 
     def locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, once, again = WordHashes(), np.zeros(1 << PLANE_BITS, bool), np.zeros(1 << PLANE_BITS, bool)
+        once, again = np.zeros(1 << PLANE_BITS, bool), np.zeros(1 << PLANE_BITS, bool)
         for batch in batches:
             for text in batch["text"].to_pylist():
-                at = np.unique(shingles(FIND(text.lower()), hashes) >> np.uint64(64 - PLANE_BITS)).astype(np.int64)
+                at = np.unique(shingles(words_of(text)) >> np.uint64(64 - PLANE_BITS)).astype(np.int64)
                 again[at[once[at]]] = True
                 once[at] = True
         for i in range(SEGMENTS):
@@ -287,11 +286,10 @@ def shared_weights(texts: DataFrame, weights: Weights) -> DataFrame:
     plane = texts.sparkSession.sparkContext.broadcast(repeated_plane(texts))
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             out = []
             for node, text in zip(batch["node"].to_pylist(), batch["text"].to_pylist()):
-                h, n = np.unique(shingles(FIND(text.lower()), hashes), return_counts=True)
+                h, n = np.unique(shingles(words_of(text)), return_counts=True)
                 w, at = weights(short(h), n), (h >> np.uint64(64 - PLANE_BITS)).astype(np.int64)
                 again = plane.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1
                 out.append((node, float(w.sum()), float(w[again == 1].sum())))
