@@ -9,7 +9,7 @@ from tidemark.dsl import Shell
 from tidemark.functions import bloom
 from tidemark.operators import layout, reads, replay, resolve
 from tidemark.plans.catalog import CATALOG
-from tidemark.sources import commands, workload
+from tidemark.sources import commands, runs, workload
 from tidemark.store import Store
 from tidemark.streaming import latest as streaming
 
@@ -219,6 +219,17 @@ def test_store_equals_replay_after_each_batch_and_restart(spark, tmp_path):
     assert store.get(1) == 2
 
 
+def test_text_runs_are_ordered_by_number(spark, tmp_path):
+    files = {"L1/run_9.txt": "1 10 0\n2 20 0\n", "L1/run_10.txt": "1 11 0\n3 0 1\n", "L2/run_8.txt": "3 30 0\n4 40 0\nbroken\n", "L1/other.txt": "9 9 0\n"}
+    for name, text in files.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = runs.read_runs(spark, f"file://{tmp_path}")
+    assert pairs(resolve.live(got)) == {1: 11, 2: 20, 4: 40}
+    assert [tuple(r) for r in runs.run_metadata(got).collect()] == [(1, 10, 1, 3, 2), (1, 9, 1, 2, 2), (2, 8, 3, 4, 2)]
+    assert [r["value"] for r in runs.to_lines(got.where("run = 10")).collect()] == ["1 11 0", "3 0 1"]
+
+
 def test_runs_of_tombstones_only_leave_no_run(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s", ratio=2, levels=3)
     put(store, spark, [(0, 1, 0, True)])

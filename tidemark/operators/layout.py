@@ -52,6 +52,13 @@ def live_by_level(log: DataFrame, **layout) -> DataFrame:
     return placed(log, **layout).join(newest, "seq", "left_semi").groupBy("level").agg(F.count("*").alias("live_keys"))
 
 
+def listing(log: DataFrame, **layout) -> DataFrame:
+    """(line): ``key:value:M`` or ``key:value:L<level>`` of every live key; values are shown as whole numbers."""
+    newest = latest(log).where("not tombstone").select("seq")
+    at = F.when(F.col("level") == 0, "M").otherwise(F.concat(F.lit("L"), F.col("level")))
+    return placed(log, **layout).join(newest, "seq", "left_semi").select(F.concat_ws(":", F.col("key"), F.col("value").cast("bigint"), at).alias("line"))
+
+
 def fence_blocks(rows: DataFrame, block: int = 1024) -> DataFrame:
     """(level, run, block_no, first_key, keys): fence pointers by running size. Approximate: a fence does not restart the sum."""
     from pyspark.sql import Window

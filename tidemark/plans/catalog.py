@@ -192,6 +192,16 @@ CATALOG: dict[str, tuple[Query, str | None]] = {
         on_log(summary),
         f"WITH {PLACED_SQL}, newest AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) SELECT (SELECT count(*) FROM newest WHERE NOT tombstone) AS logical_pairs, (SELECT count(*) FROM runs WHERE level > 0) AS stored",
     ),
+    "stats_listing": (
+        on_log(layout.listing),
+        f"""WITH {PLACED_SQL}, newest AS (SELECT * FROM placed QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1)
+ SELECT concat(key, ':', CAST(trunc(value) AS BIGINT), ':', CASE WHEN level = 0 THEN 'M' ELSE concat('L', level) END) AS line FROM newest WHERE NOT tombstone""",
+    ),
+    "command_answers": (
+        on_ops(lambda x: commands.answers(replay.replay(x).withColumn("value", F.col("value").cast("bigint")))),
+        f"""WITH {LOG_SQL}, gets AS (SELECT g.seq, CASE WHEN NOT log.tombstone THEN log.value END AS value FROM (SELECT * FROM ops WHERE op = 'g') g ASOF LEFT JOIN log ON g.key = log.key AND g.seq >= log.seq)
+ SELECT seq, coalesce(CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR), '') AS answer FROM gets UNION ALL SELECT seq, 'OK' FROM ops WHERE op <> 'g'""",
+    ),
     "merge_runs_newest_wins": (
         on_log(lambda x: resolve.merge_runs([x.where("seq % 3 = 0"), x.where("seq % 3 = 1"), x.where("seq % 3 = 2")]).select("key", "value", "tombstone", "seq")),
         f"WITH {LATEST_SQL} SELECT key, value, tombstone, seq FROM latest",
