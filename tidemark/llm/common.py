@@ -25,12 +25,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Temporary folders of applications that have no shared one.
+OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset, as in local tests."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one of the application where that is unset, as in local tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in OWN:
+            OWN[app] = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+        base = OWN[app]
     return base.rstrip("/")
 
 
