@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_words, by_value, connected_components, in_bloom, passing, stage
+from .common import bloom_words, by_value, connected_components, in_bloom, passing, slices, stage
 from .near_dup import words_of
 
 by_value(__name__)
@@ -82,7 +82,7 @@ def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
             sims = simhashes(np.fromiter(flat, np.uint64, len(flat)), np.array(starts))
             return pa.record_batch([*(pa.array(c, pa.int64()) for c in zip(*out)), pa.array(sims)], ["doc_id", "line", "key", "sim"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 for i, words in line_words(text, min_words):
                     out.append((doc_id, i, line_key(words)))
@@ -215,7 +215,7 @@ def edit_distance(a: list, b: list) -> int:
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             u, v, x, y = (c.to_pylist() for c in batch.columns)
             keep = []
             for p, q in zip(x, y):
@@ -236,7 +236,7 @@ def texts_of(docs: DataFrame, keys: DataFrame, lines: DataFrame, min_words: int)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in slices(batches):
             rows = [(line_key(w), w) for text in batch["text"].to_pylist() for _, w in line_words(text, min_words)]
             if not rows:
                 continue

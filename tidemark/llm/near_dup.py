@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_words, by_value, connected_components, passing, stage
+from .common import bloom_words, by_value, connected_components, passing, slices, stage
 
 by_value(__name__)
 
@@ -68,7 +68,7 @@ def shingles(words: list[str]) -> np.ndarray:
 def chunks(batches: Iterator[pa.RecordBatch], at_least: int) -> Iterator[tuple[list, list[np.ndarray], list]]:
     """(other columns, shingles, word lists' hashes) of runs of rows with about ``at_least`` shingles."""
     rows, parts, nodes, n = [], [], [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for row in batch.to_pylist():
             text = row.pop("text")
             words = words_of(text) if text is not None else []
@@ -97,7 +97,7 @@ def frequent(docs: DataFrame, min_rate: float) -> tuple[int, np.ndarray, np.ndar
     """(documents, short hashes ascending, document frequencies) of the shingles in at least ``min_rate`` of all documents."""
 
     def locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, parts, _ in chunks(batches, 4_000_000):
+        for rows, parts, _ in chunks(batches, 1_000_000):
             keys, n = np.unique((by_row(parts)[0] & np.uint64(0xFFFFFFFF)), return_counts=True)
             keep = n >= min_rate * len(rows)
             yield pa.record_batch([pa.array(keys[keep].astype(np.int64)), pa.array(np.zeros(keep.sum(), np.int64))], ["h", "n"])
@@ -222,7 +222,7 @@ def verified(pairs: DataFrame, texts: DataFrame, weights: Weights, threshold: fl
                 seen[node] = h, weights(short(h), n)
             return seen[node]
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for u, v, x, y in zip(*(c.to_pylist() for c in batch.columns)):
                 (h, w), (g, z) = bag(u, x), bag(v, y)
@@ -249,7 +249,7 @@ def repeated_plane(texts: DataFrame) -> np.ndarray:
 
     def locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, again = np.zeros(1 << PLANE_BITS, bool), np.zeros(1 << PLANE_BITS, bool)
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch["text"].to_pylist():
                 at = np.unique(shingles(words_of(text)) >> np.uint64(64 - PLANE_BITS)).astype(np.int64)
                 again[at[once[at]]] = True
@@ -286,7 +286,7 @@ def shared_weights(texts: DataFrame, weights: Weights) -> DataFrame:
     plane = texts.sparkSession.sparkContext.broadcast(repeated_plane(texts))
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for node, text in zip(batch["node"].to_pylist(), batch["text"].to_pylist()):
                 h, n = np.unique(shingles(words_of(text)), return_counts=True)

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value, stage
+from .common import by_value, slices, stage
 
 by_value(__name__)
 
-WINDOW, CLOSING, BUCKETS, CACHE_WORDS = 2048, 1, 256, 800_000
+WINDOW, CLOSING, BUCKETS, CACHE_WORDS = 2048, 1, 256, 250_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: What the fast path leaves to the tokenizer as a whole.
 UNUSUAL = "[\x00-\x08\x0b-\x1f\x7f-\x9fΣ]|<\\|"
@@ -97,7 +97,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int, with_ids: bool) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, closing = encoder(definition.value), np.array([CLOSING], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 data = coder.encode(text or "") + closing
