@@ -306,11 +306,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, min_rate: float = 0
     weights = Weights(*frequent(docs, min_rate), min_rate)
     sig = stage(signatures(docs, weights), "sig")
     nodes = sig.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("bands").alias("bands"), F.first("lanes").alias("lanes"))
-    members = nodes.where("bands is not null").select("node", F.posexplode("bands").alias("i", "band")).select(F.xxhash64("i", "band").alias("bucket"), "node")
+    members = nodes.where("bands is not null").select("node", F.posexplode("bands").alias("i", "band")).select(F.xxhash64("i", "band").alias("bucket"), "i", "node")
     shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = stage(members.join(shared, "bucket"), "members")
     central = members.groupBy("node").agg(F.sum("size").alias("central"))
-    lanes = stage(central.join(nodes.select("node", "rep", "lanes"), "node"), "lanes")
+    lanes = stage(central.join(nodes.select("node", "rep", "bands", "lanes"), "node"), "lanes")
 
     full = members.join(lanes.select("node", "central", "lanes"), "node")
     side = lambda df, x: df.select("bucket", *[F.col(c).alias(f"{x}_{c}") for c in df.columns if c != "bucket"])
@@ -333,13 +333,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, min_rate: float = 0
     comps = connected_components(links)
     grouped = many.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = grouped.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    rest = stage(grouped.select("bucket", "node", "comp", "lanes").join(mixed, "bucket", "left_semi"), "rest")
+    rest = stage(grouped.select("bucket", "i", "node", "comp", "lanes").join(mixed, "bucket", "left_semi"), "rest")
     if rest.head(1):
         # what two texts have in common is at most what either shares with any text, so a similar pair needs that much
         held = stage(shared_weights(texts.join(rest.select("node").distinct(), "node", "left_semi"), weights), "held")
-        rest = rest.join(held.where(F.col("shared") >= threshold * F.col("total") - 1e-9), "node")
+        rest = rest.join(held.where(F.col("shared") >= threshold * F.col("total") - 1e-9), "node").join(lanes.select("node", "bands"), "node")
         enough = F.least("a_shared", "b_shared") >= threshold / (1 + threshold) * (F.col("a_total") + F.col("b_total")) - 1e-9
-        more = side(rest, "a").join(side(rest, "b"), "bucket").where(ordered & (F.col("a_comp") != F.col("b_comp")) & enough & near)
+        first = F.expr("forall(zip_with(slice(a_bands, 1, a_i), slice(b_bands, 1, a_i), (x, y) -> x <> y), t -> t)")  # a pair comes from the first band it shares
+        more = side(rest, "a").join(side(rest, "b"), "bucket").where(ordered & (F.col("a_comp") != F.col("b_comp")) & enough & near & first)
         more = more.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
         links = stage(links.union(verified(stage(more, "more"), texts, weights, threshold)), "links")
         comps = connected_components(links)
