@@ -1,13 +1,18 @@
-"""Fuzzy line deduplication: SimHash of normalised lines, pigeonhole blocks, edit similarity, one occurrence a group.
+"""Fuzzy line deduplication: lines with a common rare word, edit similarity over words, one occurrence a group.
 
 A line is what stands between line feeds; normalised, it is its words (letters and digits, lower case). Lines of fewer
-than ``min_words`` words stay. Equal normalised lines are one node. The 64-bit SimHash over words is cut into five blocks;
-two hashes within three bits agree on two blocks, so each pair of blocks is a table with a key of about 26 bits and every
-pair within three bits meets in some table. Pairs are verified by edit similarity over words, and groups are the connected
-components of verified links; the occurrence with the smallest (doc_id, line) stays.
+than ``min_words`` words stay. Equal normalised lines are one node. Of lines that are d edits apart all words but d are common,
+so with any fixed order of words the first common one is among the first d + 1 of either line: each line is dealt to its
+d + 1 rarest words (:func:`rare_words`), and every pair of edit similarity 0.8 meets there. Signatures rule out most other
+pairs and no such pair; the rest are verified by edit similarity over words. Groups are the connected components of verified
+links; the occurrence with the smallest (doc_id, line) stays.
 
-In a key with many lines they are first held against a few central ones; only what is in different components after
-that is compared further. So thousands of variants of one line cost a star, and no link between components is lost.
+For a word with very many lines or pairs, lines are first held against a few central ones; only what is in different
+components after that is compared further. So thousands of variants of one line cost a star, and no link between components
+is lost.
+
+:func:`duplicate_lines` is the former rule, in which links also need SimHashes within three bits: the 64-bit SimHash over
+words is cut into five blocks, and each pair of blocks is a table with a key of about 26 bits. It misses most fuzzy lines.
 
 Defined cases: null texts and ids take no part and stay as they are; repeated rows count as one document; an empty
 table gives an empty result; other columns are carried. Documents that lose every line are dropped by ``apply``.
@@ -32,6 +37,10 @@ BITS, WIDTHS = 3, (13, 13, 13, 13, 12)
 SHIFTS = tuple(sum(WIDTHS[:i]) for i in range(5))
 TABLES = [(i, j) for i in range(5) for j in range(i)]
 FEW, HUBS = 24, 8
+ALL_PAIRS, SLOT_BITS, MOST = 1024, 20, 65535
+#: Lines of LONG words or more are dealt to MORE further words, and two of them must meet in MORE + 1 buckets.
+LONG, MORE = 100, 3
+SIGNATURE = ["s0", "s1", "s2"]
 MIN_WORDS = 5
 
 
@@ -221,7 +230,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             for p, q in zip(x, y):
                 p, q = p.split(), q.split()
                 most = max(len(p), len(q))
-                keep.append(abs(len(p) - len(q)) <= (1 - similarity) * most and edit_distance(p, q) <= (1 - similarity) * most + 1e-9)
+                keep.append(abs(len(p) - len(q)) <= (1 - similarity) * most + 1e-9 and edit_distance(p, q) <= (1 - similarity) * most + 1e-9)
             yield pa.record_batch([pa.array([a for a, k in zip(u, keep) if k], pa.int64()), pa.array([b for b, k in zip(v, keep) if k], pa.int64())], ["u", "v"])
 
     first = pairs.join(texts.select(F.col("key").alias("v"), F.col("words").alias("y")), "v")
@@ -252,6 +261,17 @@ def texts_of(docs: DataFrame, keys: DataFrame, lines: DataFrame, min_words: int)
     return rows.mapInArrow(found, "key long, words string").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
+def drops_of(seen: DataFrame, lines: DataFrame, comps: DataFrame) -> DataFrame:
+    grouped = lines.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+    groups = grouped.groupBy("comp").agg(F.min("first").alias("kept"), F.sum("n").alias("total")).where("total > 1")
+    named = stage(grouped.join(groups, "comp").select("key", "kept", (F.col("first") == F.col("kept")).alias("exact")), "named")
+    return (
+        seen.join(named, "key")
+        .where(~((F.col("doc_id") == F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line"))))
+        .select("doc_id", "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line"), "exact")
+    )
+
+
 def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, line, kept_doc_id, kept_line, exact): every line occurrence to drop, and the occurrence that stays for it."""
     seen = stage(occurrences(docs, min_words), "lines")
@@ -276,14 +296,268 @@ def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = M
         if more.head(1):
             links = stage(links.union(verified(more, texts, similarity)), "links")
             comps = connected_components(links)
-    grouped = lines.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    groups = grouped.groupBy("comp").agg(F.min("first").alias("kept"), F.sum("n").alias("total")).where("total > 1")
-    named = stage(grouped.join(groups, "comp").select("key", "kept", (F.col("first") == F.col("kept")).alias("exact")), "named")
-    return (
-        seen.join(named, "key")
-        .where(~((F.col("doc_id") == F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line"))))
-        .select("doc_id", "line", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.line").alias("kept_line"), "exact")
-    )
+    return drops_of(seen, lines, comps)
+
+
+def flat_lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(keys, word hashes, number of words) of lines of the texts, some 60000 words at a time; most repeats are left out."""
+    keys: list[int] = []
+    flat: list[int] = []
+    n: list[int] = []
+    seen: set[int] = set()
+    for batch in slices(batches):
+        for text in batch["text"].to_pylist():
+            for _, words in line_words(text, min_words):
+                key = line_key(words)
+                if key in seen:
+                    continue
+                seen.add(key), keys.append(key), n.append(len(words))
+                flat.extend(map(xxhash.xxh3_64_intdigest, words))
+                if len(flat) >= 60_000:
+                    yield np.array(keys), np.fromiter(flat, np.uint64, len(flat)), np.array(n)
+                    keys, flat, n = [], [], []
+        if len(seen) > 200_000:
+            seen.clear()
+    if keys:
+        yield np.array(keys), np.fromiter(flat, np.uint64, len(flat)), np.array(n)
+
+
+def texts_with_id(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null")
+
+
+def line_keys(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, line, key) of every line of min_words words or more."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = [(d, i, line_key(w)) for d, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()) for i, w in line_words(text, min_words)]
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "line", "key"])
+
+    rows = texts_with_id(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.mapInArrow(found, "doc_id long, line long, key long")
+
+
+def word_counts(docs: DataFrame, min_words: int) -> np.ndarray:
+    """How often words stand in a sixteenth of the documents, by the first bits of their hash. The counts only order words,
+    rare ones first; any order gives the same result."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for _, hashes, _ in flat_lines(batches, min_words):
+            np.add.at(total, (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
+        some = np.flatnonzero(total)
+        for i in range(0, len(some), 50_000):
+            yield pa.record_batch([pa.array(some[i : i + 50_000]), pa.array(total[some[i : i + 50_000]])], ["slot", "n"])
+
+    sample = texts_with_id(docs).where("pmod(xxhash64(cast(doc_id as bigint)), 16) = 0").select("text")
+    got = sample.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    counts[got["slot"].to_numpy()] = got["n"].to_numpy()
+    return counts
+
+
+def rare_words(hashes: np.ndarray, n: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, line) of the rarest words of each line, as many as may be edited away and one more.
+
+    The k-th occurrence of a word in a line counts as a word of its own. Two lines of which at most that many words differ
+    have their rarest common word among these, whichever order of words is used. Long lines have MORE words on top, so two
+    of them have their MORE + 1 rarest common words among these.
+    """
+    line = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((hashes, line))
+    h, line = hashes[order], line[order]
+    i = np.arange(len(h))
+    again = np.concatenate([[False], (h[1:] == h[:-1]) & (line[1:] == line[:-1])])
+    nth = i - np.maximum.accumulate(np.where(again, 0, i))
+    token = h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    order = np.lexsort((token, counts[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], line))
+    kept = i - np.repeat(np.cumsum(n) - n, n) <= np.repeat(edits(n, similarity) + MORE * (n >= LONG), n)
+    return token[order][kept].view(np.int64), line[kept]
+
+
+def edits(n: np.ndarray, similarity: float) -> np.ndarray:
+    """How many edits two lines may be apart, of which the longer one has n words."""
+    return np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
+
+
+def signatures(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Three int64 a line: 176 bits, each the parity of the number of words that are dealt to it, and the number of words.
+
+    A word put in or taken out turns one bit over and a word replaced two at most, so many different bits rule a pair out.
+    """
+    at = np.repeat(np.arange(len(n)), n) * 192 + ((hashes >> np.uint64(8)) % np.uint64(176)).astype(np.int64)
+    out = np.packbits((np.bincount(at, minlength=192 * len(n)) & 1).astype(np.uint8)).reshape(len(n), 24)
+    out.view(np.uint16)[:, 11] = np.minimum(n, MOST)
+    return out.view(np.int64)
+
+
+def words_in(s: np.ndarray) -> np.ndarray:
+    return s[:, 2] >> 48 & MOST
+
+
+def may_be_near(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """False for pairs of signatures whose lines cannot be as similar as that."""
+    x = (a ^ b).view(np.uint64)
+    bits = np.bitwise_count(x[:, 0]).astype(np.int64) + np.bitwise_count(x[:, 1]) + np.bitwise_count(x[:, 2] & np.uint64((1 << 48) - 1))
+    p, q = words_in(a), words_in(b)
+    most, apart = np.maximum(p, q), np.abs(p - q)
+    top = edits(most, similarity)
+    return (most == MOST) | (apart <= top) & (bits <= 2 * top - apart)
+
+
+def dealt_words(docs: DataFrame, min_words: int, similarity: float, counts: np.ndarray) -> DataFrame:
+    """(bucket, key, s0, s1, s2): each line once for each of its rare words."""
+    cast = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, hashes, n in flat_lines(batches, min_words):
+            bucket, line = rare_words(hashes, n, cast.value, similarity)
+            yield pa.record_batch([pa.array(c) for c in (bucket, keys[line], *signatures(hashes, n)[line].T)], ["bucket", "key", *SIGNATURE])
+
+    return texts_with_id(docs).select("text").mapInArrow(dealt, "bucket long, key long, s0 long, s1 long, s2 long")
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(bucket, signature, key, comp) of the rows of whole buckets of two rows or more, by the number of words in each; comp
+    is the key where there is no such column."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def ordered() -> tuple[np.ndarray, ...]:
+        bucket, s, key, comp = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((words_in(s), bucket))
+        bucket = bucket[order]
+        same = bucket[1:] == bucket[:-1]
+        some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        return bucket[some], s[order][some], key[order][some], comp[order][some]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = {c: batch[c].to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        part = cols["bucket"], np.stack([cols[c] for c in SIGNATURE], axis=1), cols["key"], cols.get("comp", cols["key"])
+        # the rows of the last bucket wait for the next batch
+        cut = np.searchsorted(part[0], part[0][-1])
+        if cut or held and held[-1][0][-1] != part[0][-1]:
+            held.append(tuple(c[:cut] for c in part))
+            yield ordered()
+            held.clear()
+        held.append(tuple(c[cut:] for c in part))
+    if held:
+        yield ordered()
+
+
+def near_pairs(bucket: np.ndarray, s: np.ndarray, comp: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of rows with one bucket and different comp that may be near, a few million compared at a time."""
+    run = np.cumsum(np.concatenate([[0], bucket[1:] != bucket[:-1]])) << 17
+    n = words_in(s)
+    ends = np.searchsorted(run + n, run + np.minimum(np.floor(n / similarity + 1e-9), MOST).astype(np.int64), side="right")
+    many = ends - np.arange(len(n)) - 1
+    before = np.cumsum(many) - many
+    start = 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(before, before[start] + 1_000_000)))
+        m = many[start:stop]
+        i = np.repeat(np.arange(start, stop), m)
+        j = i + 1 + np.arange(len(i)) - np.repeat(before[start:stop] - before[start], m)
+        other = comp[i] != comp[j]
+        i, j = i[other], j[other]
+        near = may_be_near(s[i], s[j], similarity)
+        yield i[near], j[near]
+        start = stop
+
+
+def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many buckets lines of these signatures meet at least if they are as similar as asked for."""
+    return np.where(np.minimum(words_in(a), words_in(b)) >= LONG, MORE + 1, 1)
+
+
+def star(s: np.ndarray, key: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a few central rows with those that may be near them."""
+    left, us, vs = np.arange(len(key)), [], []
+    for _ in range(HUBS):
+        bits = np.unpackbits(s[left].view(np.uint8), axis=1)
+        hub = left[np.argmin((bits != (bits.mean(axis=0) > 0.5)).sum(axis=1))]
+        near = np.flatnonzero(may_be_near(s, np.broadcast_to(s[hub], s.shape), similarity))
+        us.append(np.full(len(near), key[hub])), vs.append(key[near])
+        left = np.setdiff1d(left, near, assume_unique=True)
+        if not len(left):
+            break
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return u[u != v], v[u != v]
+
+
+def word_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, u, v, s1, s2, need, mark): pairs of lines with a common rare word that may be near, if they meet in ``need``
+    buckets; for each line of a bucket that has very many lines or pairs, (bucket, key, s0, s1, s2, 0, true) and only the
+    pairs with central lines."""
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, s, key, _ in whole_runs(batches):
+            if not len(bucket):
+                continue
+            starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            size = np.diff(starts, append=len(bucket))
+            run = np.repeat(np.arange(len(size)), size)
+            few = np.flatnonzero(size[run] <= ALL_PAIRS)
+            got = [(few[i], few[j]) for i, j in near_pairs(bucket[few], s[few], key[few], similarity)] if len(few) else []
+            i, j = (np.concatenate(c) for c in zip(*got)) if got else (few, few)
+            full = (size > ALL_PAIRS) | (size > FEW) & (np.bincount(run[i], minlength=len(size)) > 8 * size)
+            i, j = i[~full[run[i]]], j[~full[run[i]]]
+            out = [(np.zeros(len(i), np.int64), key[i], key[j], np.zeros((len(i), 2), np.int64), needed(s[i], s[j]), np.zeros(len(i), bool))]
+            for k in np.flatnonzero(full):
+                at = starts[k] + np.unique(key[starts[k] : starts[k] + size[k]], return_index=True)[1]
+                u, v = star(s[at], key[at], similarity)
+                out.append((np.zeros(len(u), np.int64), u, v, np.zeros((len(u), 2), np.int64), np.ones(len(u), np.int64), np.zeros(len(u), bool)))
+                out.append((bucket[at], key[at], s[at, 0], s[at, 1:], np.zeros(len(at), np.int64), np.ones(len(at), bool)))
+            b, u, v, more, need, mark = (np.concatenate(c) for c in zip(*out))
+            if len(b):
+                yield pa.record_batch([pa.array(c) for c in (b, u, v, *more.T, need, mark)], ["bucket", "u", "v", "s1", "s2", "need", "mark"])
+
+    return rows.mapInArrow(paired, "bucket long, u long, v long, s1 long, s2 long, need long, mark boolean")
+
+
+def word_pairs_across(rows: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, need): pairs that may be near of lines (bucket, key, s0, s1, s2, comp) in one bucket and in different components."""
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, s, key, comp in whole_runs(batches):
+            for i, j in near_pairs(bucket, s, comp, similarity):
+                if len(i):
+                    yield pa.record_batch([pa.array(key[i]), pa.array(key[j]), pa.array(needed(s[i], s[j]))], ["u", "v", "need"])
+
+    return rows.mapInArrow(paired, "u long, v long, need long")
+
+
+def similar_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
+    """Like :func:`duplicate_lines`, with no bound on the SimHashes: every pair of lines of that edit similarity is a link."""
+    seen = stage(line_keys(docs, min_words), "lines")
+    lines = stage(seen.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "keys")
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt_words(docs, min_words, similarity, word_counts(docs, min_words)).repartition(n, "bucket").sortWithinPartitions("bucket")
+    found = stage(word_pairs(dealt, similarity), "found")
+    ends = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    met = found.where("not mark").select(*ends, "need").groupBy("u", "v").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    pairs = stage(met.where("n >= need").select("u", "v"), "pairs")
+    crowded = found.where("mark").select("bucket", F.col("u").alias("key"), F.col("v").alias("s0"), "s1", "s2")
+    keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).union(crowded.select("key")).distinct()
+    texts = stage(texts_of(docs, keys, lines, min_words), "texts")
+    links = stage(verified(pairs, texts, similarity), "links")
+    comps = connected_components(links)
+    if crowded.head(1):
+        rows = crowded.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        rows = rows.join(mixed, "bucket", "left_semi").repartition(n, "bucket").sortWithinPartitions("bucket")
+        across = word_pairs_across(rows.select("bucket", "key", *SIGNATURE, "comp"), similarity).select(*ends, "need", F.lit(True).alias("new"))
+        # meetings in crowded buckets and in others count together
+        both = across.union(found.where("not mark").select(*ends, "need", F.lit(False).alias("new"))).groupBy("u", "v")
+        more = both.agg(F.count("*").alias("n"), F.min("need").alias("need"), F.max("new").alias("new")).where("new and n >= need").select("u", "v")
+        more = stage(more.join(pairs, ["u", "v"], "left_anti"), "more")
+        if more.head(1):
+            links = stage(links.union(verified(more, texts, similarity)), "links")
+            comps = connected_components(links)
+    return drops_of(seen, lines, comps)
 
 
 def apply(docs: DataFrame, drops: DataFrame) -> DataFrame:
