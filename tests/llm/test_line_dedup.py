@@ -52,3 +52,12 @@ def test_similar_lines_equal_edit_similarity_alone(spark, odd, none, monkeypatch
         assert {k: v for k, v in got.items() if k[0] >= 100} == want and len(want) > 80
         assert {k: v for k, v in got.items() if k[0] < 100} == {(9, 0): (8, 0)}
     assert line_dedup.similar_lines(none).count() == 0
+
+
+def test_short_lines_and_scripts_without_blanks(spark):
+    han, thai = "版权所有未经许可不得转载本网站内容", "สงวนลิขสิทธิ์ทุกประการ"
+    texts = ["All rights reserved\n!!\nOf.", f"all rights reserved.\n!!\n\n{han}\nall rights", f"{han[:-1]}物\nof\n{thai}\n版权", f"{thai}\nall rights deserved\n版权"]
+    drops = line_dedup.similar_lines(frame(spark, texts)).collect()
+    got = {(r["doc_id"], r["line"]): (r["kept_doc_id"], r["kept_line"], r["exact"]) for r in drops}
+    assert got == {(1, 0): (0, 0, True), (2, 0): (1, 3, False), (2, 1): (0, 2, True), (3, 0): (2, 2, True), (3, 2): (2, 3, True)}
+    assert len(dict(line_dedup.line_words("กา\nก่า", 1))) == 2 and len({tuple(w) for _, w in line_dedup.line_words("กา\nก่า", 1)}) == 2

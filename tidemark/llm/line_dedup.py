@@ -1,7 +1,8 @@
 """Fuzzy line deduplication: lines with a common rare word, edit similarity over words, one occurrence a group.
 
-A line is what stands between line feeds; normalised, it is its words (letters and digits, lower case). Lines of fewer
-than ``min_words`` words stay. Equal normalised lines are one node. Of lines that are d edits apart all words but d are common,
+A line is what stands between line feeds; normalised, it is its words (letters and digits, lower case), or its characters
+where a script sets no blanks. Lines without a word stay. Equal normalised lines are one node; lines of fewer than
+``min_words`` words have no fuzzy links. Of lines that are d edits apart all words but d are common,
 so with any fixed order of words the first common one is among the first d + 1 of either line: each line is dealt to its
 d + 1 rarest words (:func:`rare_words`), and every pair of edit similarity 0.8 meets there. Signatures rule out most other
 pairs and no such pair; the rest are verified by edit similarity over words. Groups are the connected components of verified
@@ -12,7 +13,8 @@ components after that is compared further. So thousands of variants of one line
 is lost.
 
 :func:`duplicate_lines` is the former rule, in which links also need SimHashes within three bits: the 64-bit SimHash over
-words is cut into five blocks, and each pair of blocks is a table with a key of about 26 bits. It misses most fuzzy lines.
+words is cut into five blocks, and each pair of blocks is a table with a key of about 26 bits. It misses most fuzzy lines, and
+lines of fewer than ``min_words`` words stay.
 
 Defined cases: null texts and ids take no part and stay as they are; repeated rows count as one document; an empty
 table gives an empty result; other columns are carried. Documents that lose every line are dropped by ``apply``.
@@ -20,6 +22,7 @@ table gives an empty result; other columns are carried. Documents that lose ever
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,9 +47,16 @@ SIGNATURE = ["s0", "s1", "s2"]
 MIN_WORDS = 5
 
 
+#: Characters of scripts that set no blanks between words: Thai, Lao, Burmese, Khmer, kana and Han. Each is a word.
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+UNSPACED_IN = re.compile(f"[{UNSPACED}]").search
+PIECES = re.compile(f"[{UNSPACED}]|[^\\W_{UNSPACED}]+").findall
+
+
 def line_words(text: str, min_words: int) -> Iterator[tuple[int, list[str]]]:
+    find = words_of if text.isascii() or not UNSPACED_IN(text) else lambda line: PIECES(line.lower())
     for i, line in enumerate(text.split("\n")):
-        words = words_of(line)
+        words = find(line)
         if len(words) >= min_words:
             yield i, words
 
@@ -531,8 +541,9 @@ def word_pairs_across(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def similar_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
-    """Like :func:`duplicate_lines`, with no bound on the SimHashes: every pair of lines of that edit similarity is a link."""
-    seen = stage(line_keys(docs, min_words), "lines")
+    """Like :func:`duplicate_lines`, with no bound on the SimHashes: every pair of lines of that edit similarity is a link.
+    Equal lines are one group however short they are; lines of fewer than min_words words have no other links."""
+    seen = stage(line_keys(docs, 1), "lines")
     lines = stage(seen.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "keys")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt_words(docs, min_words, similarity, word_counts(docs, min_words)).repartition(n, "bucket").sortWithinPartitions("bucket")
