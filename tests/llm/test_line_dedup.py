@@ -1,32 +1,10 @@
 """Line dedup against brute force on edit similarity alone."""
 
 import random
-from collections import defaultdict
-
-from tidemark.llm import line_dedup
-
-from test_operators import frame, none, odd, words  # noqa: F401
 
+from support import edit_groups, frame, words
 
-def edit_groups(rows, min_words=5):
-    """The occurrences to drop by edit similarity alone: every pair of lines is compared."""
-    seen = [(d, i, w) for d, t in rows if t is not None for i, w in line_dedup.line_words(t, min_words)]
-    up = list(range(len(seen)))
-
-    def top(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for i in range(len(seen)):
-        for j in range(i):
-            a, b = seen[i][2], seen[j][2]
-            if abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b)) and top(i) != top(j) and line_dedup.edit_distance(a, b) <= 0.2 * max(len(a), len(b)):
-                up[top(i)] = top(j)
-    groups = defaultdict(set)
-    for i, (d, line, _) in enumerate(seen):
-        groups[top(i)].add((d, line))
-    return {x: min(g) for g in groups.values() for x in g if x != min(g)}
+from tidemark.llm import line_dedup
 
 
 def test_similar_lines_equal_edit_similarity_alone(spark, odd, none, monkeypatch):

@@ -7,34 +7,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from support import SCHEMA, edit_groups, frame, words
 
 from tidemark.llm import ann, decontam, language_id, license_rules, license_scan, line_dedup, near_dup, packing, sharding, url_filter, warc
 from tidemark.llm.common import connected_components
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, node long, size string, key int, score string"
-
-
-def words(n, seed):
-    rng = random.Random(seed)
-    return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))
-
-
-def frame(spark, texts, first=0):
-    """Documents with columns whose names clash with inner ones."""
-    return spark.createDataFrame([(first + i, t, "en", 1, "x", 2, "y") for i, t in enumerate(texts)], SCHEMA)
-
-
-@pytest.fixture(scope="module")
-def odd(spark):
-    """Null, empty, blank, tiny and long texts, repeated rows, and a null id."""
-    rows = [(1, None), (2, ""), (3, " \n\n "), (4, "a"), (5, words(4000, 1)), (6, "mit license"), (6, "mit license"), (None, "some text without an id"), (7, "!!! 123"), (8, words(30, 2)), (9, words(30, 2))]
-    return spark.createDataFrame([(a, b, None, 1, "x", 2, "y") for a, b in rows], SCHEMA)
-
-
-@pytest.fixture(scope="module")
-def none(spark):
-    return spark.createDataFrame([], SCHEMA)
 
 
 def test_connected_components(spark):
@@ -158,31 +136,6 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == plain(a, b)
 
 
-def brute_line_groups(rows):
-    seen = [(d, i, w) for d, t in rows if d is not None and t is not None for i, w in line_dedup.line_words(t, line_dedup.MIN_WORDS)]
-    sim = []
-    for _, _, w in seen:
-        h = near_dup.word_hashes(line_dedup.features(w)).tolist()
-        bits = sum(1 << i for i in range(64) if 2 * sum(x >> i & 1 for x in h) > len(h))
-        sim.append(bits - (1 << 64) if bits >> 63 else bits)
-    up = list(range(len(seen)))
-
-    def top(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for i in range(len(seen)):
-        for j in range(i):
-            a, b = seen[i][2], seen[j][2]
-            if a == b or bin((sim[i] ^ sim[j]) & (1 << 64) - 1).count("1") <= 3 and line_dedup.edit_distance(a, b) <= 0.2 * max(len(a), len(b)):
-                up[top(i)] = top(j)
-    groups = defaultdict(set)
-    for i, (d, line, _) in enumerate(seen):
-        groups[top(i)].add((d, line))
-    return {x: min(g) for g in groups.values() for x in g if x != min(g)}
-
-
 def test_line_dedup(spark, odd, none):
     base = [words(60, i) for i in range(6)]
     changed = [b.replace(b.split()[7], "other", 1) for b in base] + [b.upper() + "!!" for b in base]
@@ -193,12 +146,12 @@ def test_line_dedup(spark, odd, none):
         variants.append(" ".join(w))
     docs = frame(spark, ["\n".join(base[:3]), "\n".join(base[2:]), "\n".join(changed), f"only this line is new and stays here\n{base[0]}", "\n".join(variants[:30]), "\n".join(variants[30:]), "Of.\nOf."], 20).unionByName(odd)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    drops = line_dedup.duplicate_lines(docs).collect()
+    drops = line_dedup.similar_lines(docs).collect()
     got = {(r["doc_id"], r["line"]): (r["kept_doc_id"], r["kept_line"]) for r in drops}
-    assert got == brute_line_groups(rows)
-    left = {r["doc_id"]: r["text"] for r in line_dedup.apply(docs.select("doc_id", "text", "key"), line_dedup.duplicate_lines(docs)).collect()}
-    assert left[23] == "only this line is new and stays here" and left[26] == "Of.\nOf." and left[1] is None and left[2] == "" and 9 not in left
-    assert line_dedup.duplicate_lines(none).count() == 0
+    assert got == edit_groups(rows)
+    left = {r["doc_id"]: r["text"] for r in line_dedup.apply(docs.select("doc_id", "text", "key"), line_dedup.similar_lines(docs)).collect()}
+    assert left[23] == "only this line is new and stays here" and left[26] == "Of." and left[1] is None and left[2] == "" and 9 not in left
+    assert line_dedup.similar_lines(none).count() == 0
 
 
 # 5: packing

@@ -5,7 +5,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
-from test_operators import brute_classes, brute_line_groups
+from support import edit_groups
+from test_operators import brute_classes
 
 import corpus_pipeline
 from tidemark.llm import decontam, language_id
@@ -15,7 +16,7 @@ SF = "/root/testdata/sf0.01"
 
 
 def brute_lines(rows):
-    drop = brute_line_groups(list(rows.items()))
+    drop = edit_groups(list(rows.items()))
     out = {}
     for d, t in rows.items():
         lines = t.split("\n")

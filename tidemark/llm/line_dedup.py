@@ -1,20 +1,23 @@
-"""Fuzzy line deduplication: lines with a common rare word, edit similarity over words, one occurrence a group.
+"""Fuzzy line deduplication: SimHashes of lines, joined on blocks of words, edit similarity over words, one occurrence a group.
 
 A line is what stands between line feeds; normalised, it is its words (letters and digits, lower case), or its characters
-where a script sets no blanks. Lines without a word stay. Equal normalised lines are one node; lines of fewer than
-``min_words`` words have no fuzzy links. Of lines that are d edits apart all words but d are common,
-so with any fixed order of words the first common one is among the first d + 1 of either line: each line is dealt to its
-d + 1 rarest words (:func:`rare_words`), and every pair of edit similarity 0.8 meets there. Signatures rule out most other
-pairs and no such pair; the rest are verified by edit similarity over words. Groups are the connected components of verified
-links; the occurrence with the smallest (doc_id, line) stays.
+where a script sets no blanks. Lines without a word stay. Equal normalised lines are one node. At edit similarity 0.8 a line
+of fewer than four words has no fuzzy partner, since not even one edit is allowed.
 
-For a word with very many lines or pairs, lines are first held against a few central ones; only what is in different
-components after that is compared further. So thousands of variants of one line cost a star, and no link between components
-is lost.
+An edit breaks at most three of a line's blocks of three words, so lines that are d edits apart and of which the longer one
+has m words share m - 2 - 3d blocks at least (five words also have the block of all but the middle one, four that of all).
+Each line is dealt to its ``BLOCKS`` smallest block hashes. That is a prefix filter: it misses no pair of which the longer line has
+fewer than 20 words, and of longer ones it misses a pair only if none of the shared blocks is among them, which for half of
+all blocks shared is one in a few thousand. SimHashes over pigeonhole blocks of *bits* cannot do it: at similarity 0.8
+they are 13 of 64 bits apart, so that blocks wide enough to tell lines apart are hardly ever equal.
 
-:func:`duplicate_lines` is the former rule, in which links also need SimHashes within three bits: the 64-bit SimHash over
-words is cut into five blocks, and each pair of blocks is a table with a key of about 26 bits. It misses most fuzzy lines, and
-lines of fewer than ``min_words`` words stay.
+In a bucket, pairs whose 64-bit SimHashes are more than ``RADIUS`` bits apart go, and those that a parity sketch proves too
+far apart; the rest are verified by edit similarity over words. Groups are the connected components of verified links; the
+occurrence with the smallest (doc_id, line) stays.
+
+In a bucket with very many lines or pairs, lines are first held against a few central ones; only what is in different
+components after that is compared further, by length class. So thousands of variants of one line cost a star, and no link
+between components is lost.
 
 Defined cases: null texts and ids take no part and stay as they are; repeated rows count as one document; an empty
 table gives an empty result; other columns are carried. Documents that lose every line are dropped by ``apply``.
@@ -31,21 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_words, by_value, connected_components, in_bloom, passing, slices, stage
+from .common import bloom_words, by_value, connected_components, in_bloom, map_arrow, slices, stage
 from .near_dup import words_of
 
 by_value(__name__)
 
-BITS, WIDTHS = 3, (13, 13, 13, 13, 12)
-SHIFTS = tuple(sum(WIDTHS[:i]) for i in range(5))
-TABLES = [(i, j) for i in range(5) for j in range(i)]
-FEW, HUBS = 24, 8
-ALL_PAIRS, SLOT_BITS, MOST = 1024, 20, 65535
-#: Lines of LONG words or more are dealt to MORE further words, and two of them must meet in MORE + 1 buckets.
-LONG, MORE = 100, 3
+BLOCK, BLOCKS, RADIUS, PARITY_BITS = 3, 10, 26, 112
+FEW, HUBS, ALL_PAIRS, MOST = 24, 8, 1024, 65535
 SIGNATURE = ["s0", "s1", "s2"]
-MIN_WORDS = 5
-
+#: Fewer words allow no edit.
+FUZZY = 4
 
 #: Characters of scripts that set no blanks between words: Thai, Lao, Burmese, Khmer, kana and Han. Each is a word.
 UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
@@ -53,7 +51,7 @@ UNSPACED_IN = re.compile(f"[{UNSPACED}]").search
 PIECES = re.compile(f"[{UNSPACED}]|[^\\W_{UNSPACED}]+").findall
 
 
-def line_words(text: str, min_words: int) -> Iterator[tuple[int, list[str]]]:
+def line_words(text: str, min_words: int = 1) -> Iterator[tuple[int, list[str]]]:
     find = words_of if text.isascii() or not UNSPACED_IN(text) else lambda line: PIECES(line.lower())
     for i, line in enumerate(text.split("\n")):
         words = find(line)
@@ -66,14 +64,7 @@ def line_key(words: list[str]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def features(words: list[str]) -> list[str]:
-    """What a line's SimHash is made of: its words of five letters or more, or all words where there are none.
-
-    Short words are mostly the same few in every line; with them, the hashes of unrelated lines would agree in many bits.
-    """
-    return [w for w in words if len(w) > 4] or words
-
-
+ODD = np.uint64(0x9E3779B97F4A7C15)
 #: The bits of a byte, each in a lane of eight bits.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 
@@ -89,121 +80,168 @@ def simhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > n[:, None], axis=1).view(np.int64).ravel()
 
 
-def occurrences(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, line, key, sim) of every line that takes part."""
+def blocks_of(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block, line), by line: the smallest hashes of each line's blocks, BLOCKS of them at most, as 48 bits."""
+    line = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+    starts = np.cumsum(n) - n
+    fours, fives = starts[n == 4], starts[n == 5]
+
+    def mixed(*words: np.ndarray) -> np.ndarray:
+        out = words[0] * ODD
+        for w in words[1:]:
+            out = (out ^ (out >> np.uint64(29))) * ODD + w
+        out = (out ^ (out >> np.uint64(31))) * ODD
+        return (out ^ (out >> np.uint64(32))) >> np.uint64(16)
+
+    all_but = [line[fives] << np.uint64(48) | mixed(*(hashes[fives + i] for i in (4, 3, 1, 0))), line[fours] << np.uint64(48) | mixed(*(hashes[fours + i] for i in (3, 2, 1, 0)))]
+    inside = line[: -BLOCK + 1] == line[BLOCK - 1 :]
+    code = np.concatenate([(line[: -BLOCK + 1] << np.uint64(48) | mixed(*(hashes[i : len(hashes) - BLOCK + 1 + i] for i in range(BLOCK))))[inside], *all_but])
+    code = np.unique(code)
+    of = (code >> np.uint64(48)).astype(np.int64)
+    first = np.arange(len(of)) - np.searchsorted(of, of) < BLOCKS
+    return (code[first] & np.uint64((1 << 48) - 1)).astype(np.int64), of[first]
+
+
+def edits(n: np.ndarray, similarity: float) -> np.ndarray:
+    """How many edits two lines may be apart, of which the longer one has n words."""
+    return np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
+
+
+def signatures(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Three int64 a line: the SimHash; then PARITY_BITS bits, each the parity of the number of words dealt to it, and the
+    number of words.
+
+    A word put in or taken out turns one parity bit over and a word replaced two at most, so many different bits rule a pair out.
+    """
+    at = np.repeat(np.arange(len(n)), n) * 128 + ((hashes >> np.uint64(8)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    parity = np.packbits((np.bincount(at, minlength=128 * len(n)) & 1).astype(np.uint8)).reshape(len(n), 16)
+    parity.view(np.uint16)[:, 7] = np.minimum(n, MOST)
+    return np.concatenate([simhashes(hashes, np.cumsum(n) - n)[:, None], parity.view(np.int64)], axis=1)
+
+
+def words_in(s: np.ndarray) -> np.ndarray:
+    return s[:, 2] >> 48 & MOST
+
+
+def may_be_near(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of signatures may be of lines as similar as that."""
+    x = (a ^ b).view(np.uint64)
+    bits = np.bitwise_count(x[:, 1]).astype(np.int64) + np.bitwise_count(x[:, 2] & np.uint64((1 << 48) - 1))
+    p, q = words_in(a), words_in(b)
+    most, apart = np.maximum(p, q), np.abs(p - q)
+    top = edits(most, similarity)
+    return (np.bitwise_count(x[:, 0]) <= RADIUS) & ((most == MOST) | (apart <= top) & (bits <= 2 * top - apart))
+
+
+def line_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, line, key, blocks, s0, s1, s2) of every line with a word, in one pass over the texts; ``blocks`` is empty for
+    lines of fewer than FUZZY words and, mostly, for lines that the task has met before."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[int, int, int]] = []
+        seen: set[int] = set()
+        rows: list[tuple[int, int, int]] = []
         flat: list[int] = []
-        starts: list[int] = []
+        at: list[int] = []
+        n: list[int] = []
 
         def flush() -> pa.RecordBatch:
-            sims = simhashes(np.fromiter(flat, np.uint64, len(flat)), np.array(starts))
-            return pa.record_batch([*(pa.array(c, pa.int64()) for c in zip(*out)), pa.array(sims)], ["doc_id", "line", "key", "sim"])
+            many, signs, blocks = np.zeros(len(rows) + 1, np.int32), np.zeros((len(rows), 3), np.int64), np.zeros(0, np.int64)
+            if at:
+                hashes = np.fromiter(flat, np.uint64, len(flat))
+                blocks, of = blocks_of(hashes, np.array(n))
+                many[np.array(at) + 1] = np.bincount(of, minlength=len(at))
+                signs[at] = signatures(hashes, np.array(n))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(many, dtype=np.int32)), pa.array(blocks))
+            return pa.record_batch([*(pa.array(c, pa.int64()) for c in zip(*rows)), lists, *(pa.array(c) for c in signs.T)], ["doc_id", "line", "key", "blocks", *SIGNATURE])
 
         for batch in slices(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                for i, words in line_words(text, min_words):
-                    out.append((doc_id, i, line_key(words)))
-                    starts.append(len(flat))
-                    flat.extend(map(xxhash.xxh3_64_intdigest, features(words)))
-                    if len(flat) >= 60_000:
+                for i, words in line_words(text):
+                    key = line_key(words)
+                    if len(words) >= FUZZY and key not in seen:
+                        seen.add(key), at.append(len(rows)), n.append(len(words))
+                        flat.extend(map(xxhash.xxh3_64_intdigest, words))
+                    rows.append((doc_id, i, key))
+                    if len(flat) >= 60_000 or len(rows) >= 20_000:
                         yield flush()
-                        out, flat, starts = [], [], []
-        if out:
+                        rows, flat, at, n = [], [], [], []
+            if len(seen) > 200_000:
+                seen.clear()
+        if rows:
             yield flush()
 
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(found, "doc_id long, line long, key long, sim long")
+    rows = texts_with_id(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_arrow(rows, found, "doc_id long, line long, key long, blocks array<long>, s0 long, s1 long, s2 long")
 
 
-def bucket(t: str = "t", sim: str = "sim") -> str:
-    """SQL for the table key: the table's number and the bits of its two blocks."""
-    block = lambda i: f"(shiftrightunsigned({sim}, {SHIFTS[i]}) & {(1 << WIDTHS[i]) - 1})"
-    cases = " ".join(f"when {k} then {block(i)} * 8192 + {block(j)}" for k, (i, j) in enumerate(TABLES))
-    return f"({t} * 67108864L + case {t} {cases} end)"
+def texts_with_id(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null")
 
 
-def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b)
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(bucket, signature, key, comp, guest) of the rows of whole buckets of two keys or more, by the number of words in each;
+    comp is the key, and guest false, where there is no such column."""
+    held: list[tuple[np.ndarray, ...]] = []
 
+    def ordered() -> tuple[np.ndarray, ...]:
+        bucket, s, key, comp, guest = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((key, words_in(s), bucket))
+        bucket, key = bucket[order], key[order]
+        once = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])])
+        order, bucket, key = order[once], bucket[once], key[once]
+        same = bucket[1:] == bucket[:-1]
+        some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        return bucket[some], s[order][some], key[some], comp[order][some], guest[order][some]
 
-def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of each run of rows with one bucket; runs of one row may be left out."""
-    held: list[dict[str, np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        cols = {n: batch[n].to_numpy(zero_copy_only=False) for n in batch.schema.names}
-        same = np.flatnonzero(np.diff(cols["bucket"]) == 0)
-        # rows alone in their bucket go at once; at the ends of a batch that is not known yet
-        some = np.unique(np.concatenate([[0], same, same + 1, [batch.num_rows - 1]]))
-        cols = {n: c[some] for n, c in cols.items()}
-        cuts = np.flatnonzero(np.diff(cols["bucket"])) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(some)]):
-            part = {n: c[a:b] for n, c in cols.items()}
-            if held and held[0]["bucket"][0] != part["bucket"][0]:
-                yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
-                held = []
-            held.append(part)
+        cols = {c: batch[c].to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        part = cols["bucket"], np.stack([cols[c] for c in SIGNATURE], axis=1), cols["key"], cols.get("comp", cols["key"]), cols.get("guest", np.zeros(batch.num_rows, bool))
+        # the rows of the last bucket wait for the next batch
+        cut = np.searchsorted(part[0], part[0][-1])
+        if cut or held and held[-1][0][-1] != part[0][-1]:
+            held.append(tuple(c[:cut] for c in part))
+            yield ordered()
+            held.clear()
+        held.append(tuple(c[cut:] for c in part))
     if held:
-        yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
-
+        yield ordered()
 
-def first_pairs(rows: DataFrame) -> DataFrame:
-    """(bucket, u, v): candidate pairs; for each line of a bucket that has too many, (bucket, key, null) besides."""
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        held = 0
-        for run in runs(batches):
-            key, sim, m = run["key"], run["sim"], len(run["key"])
-            if m == 1:
-                continue
-            if m <= FEW:
-                i, j = np.triu_indices(m, 1)
-                near = distance(sim[i], sim[j]) <= BITS
-                u, v = key[i[near]], key[j[near]]
-                mark = np.zeros(len(u), bool)
-            else:
-                left, us, vs = np.arange(m), [], []
-                for _ in range(HUBS):
-                    bits = np.unpackbits(sim[left].view(np.uint8).reshape(-1, 8), axis=1).mean(axis=0) > 0.5
-                    centre = np.packbits(bits).view(np.int64)[0]
-                    hub = left[np.argmin(distance(sim[left], centre))]
-                    near = np.flatnonzero(distance(sim, sim[hub]) <= BITS)
-                    us.append(np.full(len(near), key[hub])), vs.append(key[near])
-                    left = np.setdiff1d(left, near, assume_unique=True)
-                    if not len(left):
-                        break
-                u, v = np.concatenate(us), np.concatenate(vs)
-                u, v = u[u != v], v[u != v]
-                mark = np.concatenate([np.zeros(len(u), bool), np.ones(m, bool)])
-                u, v = np.concatenate([u, key]), np.concatenate([v, sim])
-            if len(u):
-                out.append((np.full(len(u), run["bucket"][0]), u, v, mark))
-                held += len(u)
-                if held > 50_000:
-                    yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], ["bucket", "u", "v", "mark"])
-                    out, held = [], 0
-        if out:
-            yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], ["bucket", "u", "v", "mark"])
-
-    return rows.mapInArrow(paired, "bucket long, u long, v long, mark boolean")
-
-
-def crossing_pairs(rows: DataFrame) -> DataFrame:
-    """(u, v): pairs within BITS of lines (bucket, key, sim, comp) that are in one bucket and in different components."""
+def near_pairs(bucket: np.ndarray, s: np.ndarray, comp: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of rows with one bucket and different comp that may be near, a few million compared at a time."""
+    run = np.cumsum(np.concatenate([[0], bucket[1:] != bucket[:-1]])) << 17
+    n = words_in(s)
+    ends = np.searchsorted(run + n, run + np.minimum(np.floor(n / similarity + 1e-9), MOST).astype(np.int64), side="right")
+    many = ends - np.arange(len(n)) - 1
+    before = np.cumsum(many) - many
+    start = 0
+    while start < len(n):
+        stop = max(start + 1, int(np.searchsorted(before, before[start] + 1_000_000)))
+        m = many[start:stop]
+        i = np.repeat(np.arange(start, stop), m)
+        j = i + 1 + np.arange(len(i)) - np.repeat(before[start:stop] - before[start], m)
+        other = comp[i] != comp[j]
+        i, j = i[other], j[other]
+        near = may_be_near(s[i], s[j], similarity)
+        yield i[near], j[near]
+        start = stop
 
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in runs(batches):
-            key, sim, comp = run["key"], run["sim"], run["comp"]
-            for i in range(len(key) - 1):
-                j = np.flatnonzero((comp[i + 1 :] != comp[i]) & (distance(sim[i + 1 :], sim[i]) <= BITS)) + i + 1
-                if len(j):
-                    yield pa.record_batch([pa.array(np.full(len(j), key[i])), pa.array(key[j])], ["u", "v"])
 
-    return rows.mapInArrow(paired, "u long, v long")
+def star(s: np.ndarray, key: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a few central rows with those that may be near them."""
+    left, us, vs = np.arange(len(key)), [], []
+    for _ in range(HUBS):
+        bits = np.unpackbits(s[left].view(np.uint8), axis=1)
+        hub = left[np.argmin((bits != (bits.mean(axis=0) > 0.5)).sum(axis=1))]
+        near = np.flatnonzero(may_be_near(s, np.broadcast_to(s[hub], s.shape), similarity))
+        us.append(np.full(len(near), key[hub])), vs.append(key[near])
+        left = np.setdiff1d(left, near, assume_unique=True)
+        if not len(left):
+            break
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return u[u != v], v[u != v]
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -244,31 +282,33 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             yield pa.record_batch([pa.array([a for a, k in zip(u, keep) if k], pa.int64()), pa.array([b for b, k in zip(v, keep) if k], pa.int64())], ["u", "v"])
 
     first = pairs.join(texts.select(F.col("key").alias("v"), F.col("words").alias("y")), "v")
-    return first.join(texts.select(F.col("key").alias("u"), F.col("words").alias("x")), "u").select("u", "v", "x", "y").mapInArrow(similar, "u long, v long")
+    both = first.join(texts.select(F.col("key").alias("u"), F.col("words").alias("x")), "u").select("u", "v", "x", "y")
+    return map_arrow(both, similar, "u long, v long")
 
 
-def texts_of(docs: DataFrame, keys: DataFrame, lines: DataFrame, min_words: int) -> DataFrame:
+def texts_of(docs: DataFrame, keys: DataFrame, lines: DataFrame) -> DataFrame:
     """(key, words) of the lines in ``keys``, read again from the documents in which they are first; only those documents
     are split again, and only those lines leave them."""
     wanted = stage(lines.join(keys, "key", "left_semi").select("key", F.xxhash64("first.doc_id").alias("doc")), "wanted")
-    cast = docs.sparkSession.sparkContext.broadcast(bloom_words(wanted, "key"))
+    cast = docs.sparkSession.sparkContext.broadcast((bloom_words(wanted, "doc"), bloom_words(wanted, "key")))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_doc, by_key = cast.value
         seen: set[int] = set()
         for batch in slices(batches):
-            rows = [(line_key(w), w) for text in batch["text"].to_pylist() for _, w in line_words(text, min_words)]
+            texts = batch["text"].filter(pa.array(in_bloom(by_doc, batch["doc"].to_numpy()))).to_pylist()
+            rows = [(line_key(w), w) for text in texts for _, w in line_words(text, FUZZY)]
             if not rows:
                 continue
-            ok = in_bloom(cast.value, np.array([k for k, _ in rows], np.int64))
+            ok = in_bloom(by_key, np.array([k for k, _ in rows], np.int64))
             got = {k: " ".join(w) for (k, w), yes in zip(rows, ok) if yes and k not in seen}
             if len(seen) > 200_000:
                 seen.clear()
             seen.update(got)
             yield pa.record_batch([pa.array(got.keys(), pa.int64()), pa.array(got.values(), pa.string())], ["key", "words"])
 
-    rows = docs.where("doc_id is not null and text is not null").select(F.xxhash64(F.col("doc_id").cast("long")).alias("doc"), "text")
-    rows = passing(rows, "doc", bloom_words(wanted, "doc")).select("text")
-    return rows.mapInArrow(found, "key long, words string").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    rows = texts_with_id(docs).select(F.xxhash64(F.col("doc_id").cast("long")).alias("doc"), "text")
+    return map_arrow(rows, found, "key long, words string").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def drops_of(seen: DataFrame, lines: DataFrame, comps: DataFrame) -> DataFrame:
@@ -282,229 +322,12 @@ def drops_of(seen: DataFrame, lines: DataFrame, comps: DataFrame) -> DataFrame:
     )
 
 
-def duplicate_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, line, kept_doc_id, kept_line, exact): every line occurrence to drop, and the occurrence that stays for it."""
-    seen = stage(occurrences(docs, min_words), "lines")
-    first = F.min(F.struct("doc_id", "line")).alias("first")
-    lines = stage(seen.groupBy("key").agg(first, F.count("*").alias("n"), F.min("sim").alias("sim")), "keys")
-    tables = lines.select(F.explode(F.array(*map(F.lit, range(len(TABLES))))).alias("t"), "key", "sim")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tables.repartition(n, F.expr(bucket())).select(F.expr(bucket()).alias("bucket"), "key", "sim").sortWithinPartitions("bucket")
-    found = stage(first_pairs(dealt), "found")
-    pairs = stage(found.where("not mark").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    crowded = found.where("mark").select("bucket", F.col("u").alias("key"), F.col("v").alias("sim"))
-    keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).union(crowded.select("key")).distinct()
-    texts = stage(texts_of(docs, keys, lines, min_words), "texts")
-    links = stage(verified(pairs, texts, similarity), "links")
-    comps = connected_components(links)
-    if crowded.head(1):
-        rows = crowded.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        rows = rows.join(mixed, "bucket", "left_semi").repartition(n, "bucket").sortWithinPartitions("bucket")
-        more = crossing_pairs(rows.select("bucket", "key", "sim", "comp")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        more = stage(more.join(pairs, ["u", "v"], "left_anti"), "more")
-        if more.head(1):
-            links = stage(links.union(verified(more, texts, similarity)), "links")
-            comps = connected_components(links)
-    return drops_of(seen, lines, comps)
-
-
-def flat_lines(batches: Iterator[pa.RecordBatch], min_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(keys, word hashes, number of words) of lines of the texts, some 60000 words at a time; most repeats are left out."""
-    keys: list[int] = []
-    flat: list[int] = []
-    n: list[int] = []
-    seen: set[int] = set()
-    for batch in slices(batches):
-        for text in batch["text"].to_pylist():
-            for _, words in line_words(text, min_words):
-                key = line_key(words)
-                if key in seen:
-                    continue
-                seen.add(key), keys.append(key), n.append(len(words))
-                flat.extend(map(xxhash.xxh3_64_intdigest, words))
-                if len(flat) >= 60_000:
-                    yield np.array(keys), np.fromiter(flat, np.uint64, len(flat)), np.array(n)
-                    keys, flat, n = [], [], []
-        if len(seen) > 200_000:
-            seen.clear()
-    if keys:
-        yield np.array(keys), np.fromiter(flat, np.uint64, len(flat)), np.array(n)
-
-
-def texts_with_id(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null and text is not null")
-
-
-def line_keys(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, line, key) of every line of min_words words or more."""
-
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            out = [(d, i, line_key(w)) for d, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()) for i, w in line_words(text, min_words)]
-            if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "line", "key"])
-
-    rows = texts_with_id(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(found, "doc_id long, line long, key long")
-
-
-def word_counts(docs: DataFrame, min_words: int) -> np.ndarray:
-    """How often words stand in a sixteenth of the documents, by the first bits of their hash. The counts only order words,
-    rare ones first; any order gives the same result."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SLOT_BITS, np.int64)
-        for _, hashes, _ in flat_lines(batches, min_words):
-            np.add.at(total, (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64), 1)
-        some = np.flatnonzero(total)
-        for i in range(0, len(some), 50_000):
-            yield pa.record_batch([pa.array(some[i : i + 50_000]), pa.array(total[some[i : i + 50_000]])], ["slot", "n"])
-
-    sample = texts_with_id(docs).where("pmod(xxhash64(cast(doc_id as bigint)), 16) = 0").select("text")
-    got = sample.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << SLOT_BITS, np.int64)
-    counts[got["slot"].to_numpy()] = got["n"].to_numpy()
-    return counts
-
-
-def rare_words(hashes: np.ndarray, n: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, line) of the rarest words of each line, as many as may be edited away and one more.
-
-    The k-th occurrence of a word in a line counts as a word of its own. Two lines of which at most that many words differ
-    have their rarest common word among these, whichever order of words is used. Long lines have MORE words on top, so two
-    of them have their MORE + 1 rarest common words among these.
-    """
-    line = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((hashes, line))
-    h, line = hashes[order], line[order]
-    i = np.arange(len(h))
-    again = np.concatenate([[False], (h[1:] == h[:-1]) & (line[1:] == line[:-1])])
-    nth = i - np.maximum.accumulate(np.where(again, 0, i))
-    token = h + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    order = np.lexsort((token, counts[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], line))
-    kept = i - np.repeat(np.cumsum(n) - n, n) <= np.repeat(edits(n, similarity) + MORE * (n >= LONG), n)
-    return token[order][kept].view(np.int64), line[kept]
-
-
-def edits(n: np.ndarray, similarity: float) -> np.ndarray:
-    """How many edits two lines may be apart, of which the longer one has n words."""
-    return np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
-
-
-def signatures(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Three int64 a line: 176 bits, each the parity of the number of words that are dealt to it, and the number of words.
-
-    A word put in or taken out turns one bit over and a word replaced two at most, so many different bits rule a pair out.
-    """
-    at = np.repeat(np.arange(len(n)), n) * 192 + ((hashes >> np.uint64(8)) % np.uint64(176)).astype(np.int64)
-    out = np.packbits((np.bincount(at, minlength=192 * len(n)) & 1).astype(np.uint8)).reshape(len(n), 24)
-    out.view(np.uint16)[:, 11] = np.minimum(n, MOST)
-    return out.view(np.int64)
-
-
-def words_in(s: np.ndarray) -> np.ndarray:
-    return s[:, 2] >> 48 & MOST
-
-
-def may_be_near(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """False for pairs of signatures whose lines cannot be as similar as that."""
-    x = (a ^ b).view(np.uint64)
-    bits = np.bitwise_count(x[:, 0]).astype(np.int64) + np.bitwise_count(x[:, 1]) + np.bitwise_count(x[:, 2] & np.uint64((1 << 48) - 1))
-    p, q = words_in(a), words_in(b)
-    most, apart = np.maximum(p, q), np.abs(p - q)
-    top = edits(most, similarity)
-    return (most == MOST) | (apart <= top) & (bits <= 2 * top - apart)
-
-
-def dealt_words(docs: DataFrame, min_words: int, similarity: float, counts: np.ndarray) -> DataFrame:
-    """(bucket, key, s0, s1, s2): each line once for each of its rare words."""
-    cast = docs.sparkSession.sparkContext.broadcast(counts)
-
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, hashes, n in flat_lines(batches, min_words):
-            bucket, line = rare_words(hashes, n, cast.value, similarity)
-            yield pa.record_batch([pa.array(c) for c in (bucket, keys[line], *signatures(hashes, n)[line].T)], ["bucket", "key", *SIGNATURE])
-
-    return texts_with_id(docs).select("text").mapInArrow(dealt, "bucket long, key long, s0 long, s1 long, s2 long")
-
-
-def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bucket, signature, key, comp) of the rows of whole buckets of two rows or more, by the number of words in each; comp
-    is the key where there is no such column."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def ordered() -> tuple[np.ndarray, ...]:
-        bucket, s, key, comp = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((words_in(s), bucket))
-        bucket = bucket[order]
-        same = bucket[1:] == bucket[:-1]
-        some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return bucket[some], s[order][some], key[order][some], comp[order][some]
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = {c: batch[c].to_numpy(zero_copy_only=False) for c in batch.schema.names}
-        part = cols["bucket"], np.stack([cols[c] for c in SIGNATURE], axis=1), cols["key"], cols.get("comp", cols["key"])
-        # the rows of the last bucket wait for the next batch
-        cut = np.searchsorted(part[0], part[0][-1])
-        if cut or held and held[-1][0][-1] != part[0][-1]:
-            held.append(tuple(c[:cut] for c in part))
-            yield ordered()
-            held.clear()
-        held.append(tuple(c[cut:] for c in part))
-    if held:
-        yield ordered()
-
-
-def near_pairs(bucket: np.ndarray, s: np.ndarray, comp: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs of rows with one bucket and different comp that may be near, a few million compared at a time."""
-    run = np.cumsum(np.concatenate([[0], bucket[1:] != bucket[:-1]])) << 17
-    n = words_in(s)
-    ends = np.searchsorted(run + n, run + np.minimum(np.floor(n / similarity + 1e-9), MOST).astype(np.int64), side="right")
-    many = ends - np.arange(len(n)) - 1
-    before = np.cumsum(many) - many
-    start = 0
-    while start < len(n):
-        stop = max(start + 1, int(np.searchsorted(before, before[start] + 1_000_000)))
-        m = many[start:stop]
-        i = np.repeat(np.arange(start, stop), m)
-        j = i + 1 + np.arange(len(i)) - np.repeat(before[start:stop] - before[start], m)
-        other = comp[i] != comp[j]
-        i, j = i[other], j[other]
-        near = may_be_near(s[i], s[j], similarity)
-        yield i[near], j[near]
-        start = stop
-
-
-def needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many buckets lines of these signatures meet at least if they are as similar as asked for."""
-    return np.where(np.minimum(words_in(a), words_in(b)) >= LONG, MORE + 1, 1)
-
-
-def star(s: np.ndarray, key: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a few central rows with those that may be near them."""
-    left, us, vs = np.arange(len(key)), [], []
-    for _ in range(HUBS):
-        bits = np.unpackbits(s[left].view(np.uint8), axis=1)
-        hub = left[np.argmin((bits != (bits.mean(axis=0) > 0.5)).sum(axis=1))]
-        near = np.flatnonzero(may_be_near(s, np.broadcast_to(s[hub], s.shape), similarity))
-        us.append(np.full(len(near), key[hub])), vs.append(key[near])
-        left = np.setdiff1d(left, near, assume_unique=True)
-        if not len(left):
-            break
-    u, v = np.concatenate(us), np.concatenate(vs)
-    return u[u != v], v[u != v]
-
-
-def word_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, u, v, s1, s2, need, mark): pairs of lines with a common rare word that may be near, if they meet in ``need``
-    buckets; for each line of a bucket that has very many lines or pairs, (bucket, key, s0, s1, s2, 0, true) and only the
-    pairs with central lines."""
+def block_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, u, v, s1, s2, mark): pairs of lines with a common block that may be near; for each line of a bucket that has
+    very many lines or pairs, (bucket, key, s0, s1, s2, true) and only the pairs with central lines."""
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, s, key, _ in whole_runs(batches):
+        for bucket, s, key, _, _ in whole_runs(batches):
             if not len(bucket):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -515,56 +338,57 @@ def word_pairs(rows: DataFrame, similarity: float) -> DataFrame:
             i, j = (np.concatenate(c) for c in zip(*got)) if got else (few, few)
             full = (size > ALL_PAIRS) | (size > FEW) & (np.bincount(run[i], minlength=len(size)) > 8 * size)
             i, j = i[~full[run[i]]], j[~full[run[i]]]
-            out = [(np.zeros(len(i), np.int64), key[i], key[j], np.zeros((len(i), 2), np.int64), needed(s[i], s[j]), np.zeros(len(i), bool))]
+            out = [(np.zeros(len(i), np.int64), key[i], key[j], np.zeros((len(i), 2), np.int64), np.zeros(len(i), bool))]
             for k in np.flatnonzero(full):
-                at = starts[k] + np.unique(key[starts[k] : starts[k] + size[k]], return_index=True)[1]
+                at = slice(starts[k], starts[k] + size[k])
                 u, v = star(s[at], key[at], similarity)
-                out.append((np.zeros(len(u), np.int64), u, v, np.zeros((len(u), 2), np.int64), np.ones(len(u), np.int64), np.zeros(len(u), bool)))
-                out.append((bucket[at], key[at], s[at, 0], s[at, 1:], np.zeros(len(at), np.int64), np.ones(len(at), bool)))
-            b, u, v, more, need, mark = (np.concatenate(c) for c in zip(*out))
+                out.append((np.zeros(len(u), np.int64), u, v, np.zeros((len(u), 2), np.int64), np.zeros(len(u), bool)))
+                out.append((bucket[at], key[at], s[at, 0], s[at, 1:], np.ones(size[k], bool)))
+            b, u, v, more, mark = (np.concatenate(c) for c in zip(*out))
             if len(b):
-                yield pa.record_batch([pa.array(c) for c in (b, u, v, *more.T, need, mark)], ["bucket", "u", "v", "s1", "s2", "need", "mark"])
+                yield pa.record_batch([pa.array(c) for c in (b, u, v, *more.T, mark)], ["bucket", "u", "v", "s1", "s2", "mark"])
 
-    return rows.mapInArrow(paired, "bucket long, u long, v long, s1 long, s2 long, need long, mark boolean")
+    return map_arrow(rows, paired, "bucket long, u long, v long, s1 long, s2 long, mark boolean")
 
 
-def word_pairs_across(rows: DataFrame, similarity: float) -> DataFrame:
-    """(u, v, need): pairs that may be near of lines (bucket, key, s0, s1, s2, comp) in one bucket and in different components."""
+def pairs_across(rows: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): pairs that may be near of lines (bucket, key, s0, s1, s2, comp, guest) in one bucket and in different components;
+    two guests are no pair."""
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, s, key, comp in whole_runs(batches):
+        for bucket, s, key, comp, guest in whole_runs(batches):
             for i, j in near_pairs(bucket, s, comp, similarity):
-                if len(i):
-                    yield pa.record_batch([pa.array(key[i]), pa.array(key[j]), pa.array(needed(s[i], s[j]))], ["u", "v", "need"])
+                own = ~(guest[i] & guest[j])
+                if own.any():
+                    yield pa.record_batch([pa.array(key[i[own]]), pa.array(key[j[own]])], ["u", "v"])
 
-    return rows.mapInArrow(paired, "u long, v long, need long")
+    return map_arrow(rows, paired, "u long, v long")
 
 
-def similar_lines(docs: DataFrame, similarity: float = 0.8, min_words: int = MIN_WORDS) -> DataFrame:
-    """Like :func:`duplicate_lines`, with no bound on the SimHashes: every pair of lines of that edit similarity is a link.
-    Equal lines are one group however short they are; lines of fewer than min_words words have no other links."""
-    seen = stage(line_keys(docs, 1), "lines")
+def similar_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, line, kept_doc_id, kept_line, exact): every line occurrence to drop, and the occurrence that stays for it."""
+    table = stage(line_table(docs), "lines")
+    seen = table.select("doc_id", "line", "key")
     lines = stage(seen.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "keys")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt_words(docs, min_words, similarity, word_counts(docs, min_words)).repartition(n, "bucket").sortWithinPartitions("bucket")
-    found = stage(word_pairs(dealt, similarity), "found")
+    dealt = table.select(F.explode("blocks").alias("bucket"), "key", *SIGNATURE).repartition(n, "bucket").sortWithinPartitions("bucket")
+    found = stage(block_pairs(dealt, similarity), "found")
     ends = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
-    met = found.where("not mark").select(*ends, "need").groupBy("u", "v").agg(F.count("*").alias("n"), F.min("need").alias("need"))
-    pairs = stage(met.where("n >= need").select("u", "v"), "pairs")
+    pairs = stage(found.where("not mark").select(*ends).distinct(), "pairs")
     crowded = found.where("mark").select("bucket", F.col("u").alias("key"), F.col("v").alias("s0"), "s1", "s2")
     keys = pairs.select(F.explode(F.array("u", "v")).alias("key")).union(crowded.select("key")).distinct()
-    texts = stage(texts_of(docs, keys, lines, min_words), "texts")
+    texts = stage(texts_of(docs, keys, lines), "texts")
     links = stage(verified(pairs, texts, similarity), "links")
     comps = connected_components(links)
     if crowded.head(1):
         rows = crowded.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        rows = rows.join(mixed, "bucket", "left_semi").repartition(n, "bucket").sortWithinPartitions("bucket")
-        across = word_pairs_across(rows.select("bucket", "key", *SIGNATURE, "comp"), similarity).select(*ends, "need", F.lit(True).alias("new"))
-        # meetings in crowded buckets and in others count together
-        both = across.union(found.where("not mark").select(*ends, "need", F.lit(False).alias("new"))).groupBy("u", "v")
-        more = both.agg(F.count("*").alias("n"), F.min("need").alias("need"), F.max("new").alias("new")).where("new and n >= need").select("u", "v")
-        more = stage(more.join(pairs, ["u", "v"], "left_anti"), "more")
+        # lines of similar length are in one length class or in neighbouring ones; each class is a bucket, with the class below as guests
+        size = F.floor(F.log(F.expr("shiftrightunsigned(s2, 48)").cast("double")) / float(-np.log(similarity)) + 1e-9)
+        both = F.explode(F.array(F.struct(F.lit(0).alias("up"), F.lit(False).alias("guest")), F.struct(F.lit(1).alias("up"), F.lit(True).alias("guest"))))
+        rows = rows.join(mixed, "bucket", "left_semi").select("*", both.alias("as"))
+        rows = rows.select(F.xxhash64("bucket", size + F.col("as.up")).alias("bucket"), "key", *SIGNATURE, "comp", "as.guest").repartition(n, "bucket").sortWithinPartitions("bucket")
+        more = stage(pairs_across(rows, similarity).select(*ends).distinct().join(pairs, ["u", "v"], "left_anti"), "more")
         if more.head(1):
             links = stage(links.union(verified(more, texts, similarity)), "links")
             comps = connected_components(links)
