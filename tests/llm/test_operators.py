@@ -176,6 +176,21 @@ def test_best_fit_runs_equal_item_by_item():
         assert sorted(window - x for x in used.values()) == sorted(spaces)
 
 
+def test_encoder_equals_the_tokenizer(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "CACHE_WORDS", 500)  # generations change often
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        coder = packing.Encoder(f.read())
+    texts = ["it's", "'start", "''s", "!'s x", "'s's", "don't we'll they've i'm he'd you're 'll", "'l 'lla", "' s", "'", "x'", "1'2'st", "'9", " \n\t a", "ÄÖü İstanbul ǅ", "3.14,2", "a'RE B'S"]
+    texts += ["a1b22c", "naïve é café’s “q” — x…", "", "word" * 600, "日本語 text ' s", "<|endoftext|> x", "ΟΔΟΣ Σ", "e\u0301", words(3000, 4)]
+    for c in [c for c in [*range(1, 0x3010, 3), *random.Random(1).sample(range(0x3010, 0x11000), 500)] if not 0xD800 <= c < 0xE000]:
+        texts += [chr(c), f"a{chr(c)}b", f"x'{chr(c)} 1"]
+    for i in range(0, len(texts), 300):
+        for text, got in zip(texts[i : i + 300], coder.encode(texts[i : i + 300])):
+            assert np.array_equal(got, coder.whole(text)), repr(text)
+
+
 def test_packing(spark, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer

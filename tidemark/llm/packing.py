@@ -14,8 +14,7 @@ tokenizer's own encoding as a whole, as do texts with control characters or capi
 
 from __future__ import annotations
 
-import sys
-import types
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -27,66 +26,130 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_value, slices, stage
+from .common import by_value, map_arrow, slices, stage
 
 by_value(__name__)
 
-WINDOW, CLOSING, BUCKETS, CACHE_WORDS = 2048, 1, 256, 250_000
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-#: What the fast path leaves to the tokenizer as a whole.
-UNUSUAL = "[\x00-\x08\x0b-\x1f\x7f-\x9fΣ]|<\\|"
+WINDOW, CLOSING, BUCKETS, CACHE_WORDS = 2048, 1, 256, 150_000
+SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
+LIMIT, MOST_LETTERS = 0x3000, 1000
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian uint32 bytes, remembered by word.
+    """Token ids of whole texts as little-endian uint32 arrays, remembered by word.
 
-    The tokenizer splits a text before it merges, so the ids of a text are those of its words; words not seen before go
-    through the library, many at once, and are told apart by their end-of-word tokens.
+    The tokenizer splits a text before it merges, so the ids of a text are those of its words. Texts are split many at a
+    time, by classes of their characters; a word is known by a 64-bit hash of its characters, and only words not met before
+    go through the tokenizer. Texts with anything that this leaves open (characters from ``LIMIT`` on or without a class, special
+    tokens, very long words) go through the tokenizer as a whole. Words are kept in two generations: once there are
+    CACHE_WORDS in the young one it becomes the old one, and what is still in use moves back.
     """
 
     def __init__(self, definition: str):
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.find, self.unusual = regex.compile(SPLIT).findall, regex.compile(UNUSUAL).search
+        # the same merges for words that are cut and normalised already
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        bare = json.loads(definition) | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, level]}}
+        self.bare = Tokenizer.from_str(json.dumps(bare))
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.last[i] = token.endswith("</w>")
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        if self.unusual(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = self.find((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            self.learn([w for w in dict.fromkeys(words) if w not in self.known])
-            return b"".join(map(self.known.__getitem__, words))
-
-    def learn(self, words: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(words):
-            for w in words:
-                self.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-            return
-        data, begin = ids.tobytes(), 0
-        for w, end in zip(words, (4 * ends).tolist()):
-            self.known[w] = data[begin:end]
-            begin = end
-
-
-def encoder(definition: str) -> Encoder:
-    """The encoder of this Python worker; what it has learnt serves its later tasks too."""
-    keep = sys.modules.setdefault("_tidemark_encoders", types.ModuleType("_tidemark_encoders"))
-    key = f"e{zlib.crc32(definition.encode())}"
-    if not hasattr(keep, key):
-        setattr(keep, key, Encoder(definition))
-    return getattr(keep, key)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.young: dict[int, bytes] = {}
+        self.old: dict[int, bytes] = {}
+        kinds = {"L": LETTER, "N": NUMBER}
+        self.kind = np.array([SPACE if chr(i).isspace() else kinds.get(c[0], ODD if c in ("Cc", "Cn", "Cs", "Co") else OTHER) for i in range(LIMIT) for c in [unicodedata.category(chr(i))]] + [ODD], np.uint8)
+        self.kind[[*range(9), *range(11, 32), *range(127, 160)]] = ODD
+        rng = np.random.default_rng(5)
+        self.mix = rng.integers(0, 1 << 64, LIMIT + 1, np.uint64)
+        self.place = rng.integers(0, 1 << 63, MOST_LETTERS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def words(self, code: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where words begin and end: runs of letters, single numbers, runs of others, and an apostrophe with a short ending."""
+        first = kind != np.concatenate([[SPACE], kind[:-1]])
+        last = kind != np.concatenate([kind[1:], [SPACE]])
+        first, last = (first | (kind == NUMBER)) & (kind != SPACE), (last | (kind == NUMBER)) & (kind != SPACE)
+        begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        lone = np.flatnonzero((code[begin] == ord("'")) & (end - begin == 1) & (kind[np.minimum(end, len(kind) - 1)] == LETTER))
+        lone = lone[lone + 1 < len(begin)]
+        if len(lone):
+            at = begin[lone] + 1
+            one, two = code[at], code[np.minimum(at + 1, len(code) - 1)]
+            pair = np.zeros(len(at), bool)
+            for x, y in ("re", "ve", "ll"):
+                pair |= (one == ord(x)) & (two == ord(y))
+            more = np.where(pair, 2, np.isin(one, [ord(x) for x in "stmd"]))
+            end[lone] += more
+            begin[lone + 1] += more
+            some = begin < end
+            begin, end = begin[some], end[some]
+        return begin, end
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [None if "<|" in t or "Σ" in t else (t if t.isascii() else unicodedata.normalize("NFC", t)).lower() for t in texts]
+        joined = " ".join(t or "" for t in plain)
+        code = np.frombuffer((joined + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
+        n = np.array([len(t or "") for t in plain], np.int64)
+        starts = np.cumsum(n + 1) - n - 1
+        code = np.minimum(code, LIMIT)
+        kind = self.kind[code]
+        begin, end = self.words(code, kind)
+        odd = np.bincount(np.searchsorted(starts, np.concatenate([np.flatnonzero(kind == ODD), begin[end - begin > MOST_LETTERS]]), "right") - 1, minlength=len(texts)) > 0
+        if odd.any():
+            kind = np.where(np.repeat(odd, n + 1), SPACE, kind)
+            begin, end = self.words(code, kind)
+        ids, ends = self.ids_of(joined, code, begin, end)
+        cuts = np.searchsorted(begin, starts)
+        firsts = np.concatenate([[0], ends])[cuts]
+        lasts = np.concatenate([firsts[1:], [len(ids)]])
+        return [self.whole(t) if p is None or o else ids[a:b] for t, p, o, a, b in zip(texts, plain, odd, firsts, lasts)]
+
+    def ids_of(self, joined: str, code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and where each word's ids end."""
+        if not len(begin):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        n = end - begin
+        at = np.repeat(np.cumsum(n) - n, n)
+        of = np.arange(int(n.sum())) - at
+        hashes = np.add.reduceat(self.mix[code[np.repeat(begin, n) + of]] * self.place[of], np.cumsum(n) - n)
+        keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.young) > CACHE_WORDS:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        known = keys.tolist()
+        new = [i for i, k in enumerate(known) if k not in young]
+        for i in [i for i in new if known[i] in old]:
+            young[known[i]] = old[known[i]]
+        if new := [i for i in new if known[i] not in young]:
+            words = [joined[a:b] for a, b in zip(begin[where[new]].tolist(), end[where[new]].tolist())]
+            ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+            if len(ends) != len(words):
+                raise AssertionError("a word has no end")
+            data = ids.tobytes()
+            for i, x, y in zip(new, [0, *ends], ends):
+                young[known[i]] = data[x:y]
+        parts = list(map(young.__getitem__, known))
+        many = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat = np.frombuffer(b"".join(parts), "<u4")
+        each = many[inverse]
+        ends = np.cumsum(each)
+        return flat[np.arange(ends[-1]) + np.repeat((np.cumsum(many) - many)[inverse] - (ends - each), each)], ends
+
+
+def chunks(ids: list, texts: list, letters: int = 400_000) -> Iterator[tuple[list, list[str]]]:
+    """Rows with some ``letters`` characters together; a longer text is alone."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        if held and held + len(t or "") > letters:
+            yield ids[start:i], [t or "" for t in texts[start:i]]
+            start, held = i, 0
+        held += len(t or "") + 1
+    if held:
+        yield ids[start:], [t or "" for t in texts[start:]]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, window: int, with_ids: bool) -> DataFrame:
@@ -96,23 +159,28 @@ def pieces(docs: DataFrame, tokenizer_path: str, window: int, with_ids: bool) ->
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, closing = encoder(definition.value), np.array([CLOSING], "<u4").tobytes()
+        coder, closing = Encoder(definition.value), np.array([CLOSING], "<u4")
+        rows: list[tuple] = []
+
+        def batch_of() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
         for batch in slices(batches):
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                data = coder.encode(text or "") + closing
-                for start in range(0, len(data), 4 * window):
-                    part = data[start : start + 4 * window]
-                    rows.append((doc_id, start // 4, len(part) // 4, zlib.crc32(part), len(data) // 4) + ((np.frombuffer(part, "<i4"),) if with_ids else ()))
-                    if len(rows) >= (200 if with_ids else 20_000):
-                        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                        rows = []
-            if rows:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            for ids, texts in chunks(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+                for doc_id, got in zip(ids, coder.encode(texts)):
+                    got = np.concatenate([got, closing])
+                    for start in range(0, len(got), window):
+                        part = got[start : start + window]
+                        rows.append((doc_id, start, len(part), zlib.crc32(part), len(got)) + ((part.view("<i4"),) if with_ids else ()))
+                        if len(rows) >= (200 if with_ids else 20_000):
+                            yield batch_of()
+                            rows = []
+        if rows:
+            yield batch_of()
 
     kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), cut, schema)
 
 
 class Capacities:
