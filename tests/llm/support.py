@@ -1,10 +1,12 @@
 """Small tables and the brute-force version of line groups."""
 
 import random
+import re
 from collections import defaultdict
 
 from tidemark.llm import line_dedup
 
+UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
 SCHEMA = "doc_id long, text string, lang string, node long, size string, key int, score string"
 
 
@@ -18,9 +20,17 @@ def frame(spark, texts, first=0):
     return spark.createDataFrame([(first + i, t, "en", 1, "x", 2, "y") for i, t in enumerate(texts)], SCHEMA)
 
 
+def line_words(text):
+    """(line, words) of the lines with a word."""
+    for i, line in enumerate(text.split("\n")):
+        words = re.findall(f"[{UNSPACED}]|[^\\W_{UNSPACED}]+", line.lower())
+        if words:
+            yield i, words
+
+
 def edit_groups(rows):
     """The occurrences to drop by edit similarity alone: every pair of lines is compared."""
-    seen = [(d, i, w) for d, t in rows if d is not None and t is not None for i, w in line_dedup.line_words(t)]
+    seen = [(d, i, w) for d, t in rows if d is not None and t is not None for i, w in line_words(t)]
     sets = [set(w) for _, _, w in seen]
     up = list(range(len(seen)))
 

@@ -2,9 +2,12 @@
 
 import random
 
-from support import edit_groups, frame, words
+import numpy as np
+import pyarrow as pa
+from support import edit_groups, frame, line_words, words
 
 from tidemark.llm import line_dedup
+from tidemark.llm.words import Splitter, chunked
 
 
 def test_similar_lines_equal_edit_similarity_alone(spark, odd, none, monkeypatch):
@@ -38,4 +41,30 @@ def test_short_lines_and_scripts_without_blanks(spark):
     drops = line_dedup.similar_lines(frame(spark, texts)).collect()
     got = {(r["doc_id"], r["line"]): (r["kept_doc_id"], r["kept_line"], r["exact"]) for r in drops}
     assert got == {(1, 0): (0, 0, True), (2, 0): (1, 3, False), (2, 1): (0, 2, True), (3, 0): (2, 2, True), (3, 2): (2, 3, True)}
-    assert len(dict(line_dedup.line_words("กา\nก่า", 1))) == 2 and len({tuple(w) for _, w in line_dedup.line_words("กา\nก่า", 1)}) == 2
+
+
+def test_splitter_equals_plain_words():
+    split = Splitter()
+    texts = ["", "\n\n", "a_b c", "日本語 text กา\nก่า", "İstanbul ΟΔΟΣ ß", "x\U0001f600y \U00020001\U00020002z \U0001d49c\U0001d4b7", "a" * 100_000 + " b", words(20_000, 3), "ab ba aab", words(400, 4) + "\n" + words(300, 4)]
+    for some in (texts, texts[::-1], texts[2:3]):
+        hashes, line, firsts = split(some)
+        want = [(firsts[k] + i, w) for k, t in enumerate(some) for i, ws in line_words(t) for w in ws]
+        assert [x for x, _ in want] == line.tolist()
+        by_word = {w: h for (_, w), h in zip(want, hashes.tolist())}
+        assert [by_word[w] for _, w in want] == hashes.tolist() and len(set(by_word.values())) == len(by_word)
+    assert len(split([""])[0]) == 0 and chunked([]) is not None and [s.stop for s in chunked(["ab", None, "c" * 500, "d"], 100)] == [2, 3, 4]
+
+
+def test_distances_of_many_pairs_equal_one_by_one():
+    rng = np.random.default_rng(4)
+    pairs = []
+    for n in [0, 1, 4, 5, 9, 20, 60, 150, 700] * 12:
+        a = rng.integers(0, 9, n)
+        b = np.delete(a, rng.integers(0, max(n, 1), n // 9)) if n else a
+        b = b.copy()
+        b[rng.random(len(b)) < rng.choice([0, 0.1, 0.3])] = 77
+        pairs += [(a, b), (b, a), (a, rng.integers(0, 9, n + int(rng.integers(0, 3))))]
+    x, y = (pa.array([p[i].tolist() for p in pairs], pa.list_(pa.int32())) for i in (0, 1))
+    want = [line_dedup.edit_distance(a.tolist(), b.tolist()) <= int(0.2 * max(len(a), len(b)) + 1e-9) for a, b in pairs]
+    assert line_dedup.similar_pairs(x, y, 0.8).tolist() == want and 50 < sum(want) < len(want) - 50
+    assert line_dedup.similar_pairs(x.slice(40, 100), y.slice(40, 100), 0.8).tolist() == want[40:140]

@@ -12,7 +12,7 @@ all blocks shared is one in a few thousand. SimHashes over pigeonhole blocks of
 they are 13 of 64 bits apart, so that blocks wide enough to tell lines apart are hardly ever equal.
 
 In a bucket, pairs whose 64-bit SimHashes are more than ``RADIUS`` bits apart go, and those that a parity sketch proves too
-far apart; the rest are verified by edit similarity over words. Groups are the connected components of verified links; the
+far apart; the rest are verified by edit similarity over words (31 bits of their hashes). Groups are the connected components of verified links; the
 occurrence with the smallest (doc_id, line) stays.
 
 In a bucket with very many lines or pairs, lines are first held against a few central ones; only what is in different
@@ -25,45 +25,24 @@ table gives an empty result; other columns are carried. Documents that lose ever
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bloom_words, by_value, connected_components, in_bloom, map_arrow, slices, stage
-from .near_dup import words_of
+from .words import Splitter, chunked, runs_of
 
 by_value(__name__)
 
 BLOCK, BLOCKS, RADIUS, PARITY_BITS = 3, 10, 26, 112
-FEW, HUBS, ALL_PAIRS, MOST = 24, 8, 1024, 65535
+FEW, HUBS, ALL_PAIRS, MOST, LONG = 24, 8, 1024, 65535, 600
 SIGNATURE = ["s0", "s1", "s2"]
 #: Fewer words allow no edit.
 FUZZY = 4
 
-#: Characters of scripts that set no blanks between words: Thai, Lao, Burmese, Khmer, kana and Han. Each is a word.
-UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3041-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
-UNSPACED_IN = re.compile(f"[{UNSPACED}]").search
-PIECES = re.compile(f"[{UNSPACED}]|[^\\W_{UNSPACED}]+").findall
-
-
-def line_words(text: str, min_words: int = 1) -> Iterator[tuple[int, list[str]]]:
-    find = words_of if text.isascii() or not UNSPACED_IN(text) else lambda line: PIECES(line.lower())
-    for i, line in enumerate(text.split("\n")):
-        words = find(line)
-        if len(words) >= min_words:
-            yield i, words
-
-
-def line_key(words: list[str]) -> int:
-    h = xxhash.xxh64_intdigest(" ".join(words))
-    return h - (1 << 64) if h >> 63 else h
-
-
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: The bits of a byte, each in a lane of eight bits.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
@@ -81,7 +60,8 @@ def simhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def blocks_of(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(block, line), by line: the smallest hashes of each line's blocks, BLOCKS of them at most, as 48 bits."""
+    """(block, line), by line: the smallest hashes of each line's blocks, BLOCKS of them at most, as 44 bits (2 ** 20 lines at
+    most)."""
     line = np.repeat(np.arange(len(n), dtype=np.uint64), n)
     starts = np.cumsum(n) - n
     fours, fives = starts[n == 4], starts[n == 5]
@@ -91,15 +71,15 @@ def blocks_of(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
         for w in words[1:]:
             out = (out ^ (out >> np.uint64(29))) * ODD + w
         out = (out ^ (out >> np.uint64(31))) * ODD
-        return (out ^ (out >> np.uint64(32))) >> np.uint64(16)
+        return (out ^ (out >> np.uint64(32))) >> np.uint64(20)
 
-    all_but = [line[fives] << np.uint64(48) | mixed(*(hashes[fives + i] for i in (4, 3, 1, 0))), line[fours] << np.uint64(48) | mixed(*(hashes[fours + i] for i in (3, 2, 1, 0)))]
+    all_but = [line[fives] << np.uint64(44) | mixed(*(hashes[fives + i] for i in (4, 3, 1, 0))), line[fours] << np.uint64(44) | mixed(*(hashes[fours + i] for i in (3, 2, 1, 0)))]
     inside = line[: -BLOCK + 1] == line[BLOCK - 1 :]
-    code = np.concatenate([(line[: -BLOCK + 1] << np.uint64(48) | mixed(*(hashes[i : len(hashes) - BLOCK + 1 + i] for i in range(BLOCK))))[inside], *all_but])
+    code = np.concatenate([(line[: -BLOCK + 1] << np.uint64(44) | mixed(*(hashes[i : len(hashes) - BLOCK + 1 + i] for i in range(BLOCK))))[inside], *all_but])
     code = np.unique(code)
-    of = (code >> np.uint64(48)).astype(np.int64)
+    of = (code >> np.uint64(44)).astype(np.int64)
     first = np.arange(len(of)) - np.searchsorted(of, of) < BLOCKS
-    return (code[first] & np.uint64((1 << 48) - 1)).astype(np.int64), of[first]
+    return (code[first] & np.uint64((1 << 44) - 1)).astype(np.int64), of[first]
 
 
 def edits(n: np.ndarray, similarity: float) -> np.ndarray:
@@ -138,37 +118,33 @@ def line_table(docs: DataFrame) -> DataFrame:
     lines of fewer than FUZZY words and, mostly, for lines that the task has met before."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split = Splitter()
         seen: set[int] = set()
-        rows: list[tuple[int, int, int]] = []
-        flat: list[int] = []
-        at: list[int] = []
-        n: list[int] = []
-
-        def flush() -> pa.RecordBatch:
-            many, signs, blocks = np.zeros(len(rows) + 1, np.int32), np.zeros((len(rows), 3), np.int64), np.zeros(0, np.int64)
-            if at:
-                hashes = np.fromiter(flat, np.uint64, len(flat))
-                blocks, of = blocks_of(hashes, np.array(n))
-                many[np.array(at) + 1] = np.bincount(of, minlength=len(at))
-                signs[at] = signatures(hashes, np.array(n))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum(many, dtype=np.int32)), pa.array(blocks))
-            return pa.record_batch([*(pa.array(c, pa.int64()) for c in zip(*rows)), lists, *(pa.array(c) for c in signs.T)], ["doc_id", "line", "key", "blocks", *SIGNATURE])
-
         for batch in slices(batches):
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                for i, words in line_words(text):
-                    key = line_key(words)
-                    if len(words) >= FUZZY and key not in seen:
-                        seen.add(key), at.append(len(rows)), n.append(len(words))
-                        flat.extend(map(xxhash.xxh3_64_intdigest, words))
-                    rows.append((doc_id, i, key))
-                    if len(flat) >= 60_000 or len(rows) >= 20_000:
-                        yield flush()
-                        rows, flat, at, n = [], [], [], []
-            if len(seen) > 200_000:
-                seen.clear()
-        if rows:
-            yield flush()
+            texts = batch["text"].to_pylist()
+            for part in chunked(texts):
+                hashes, of_word, firsts = split(texts[part])
+                begin, n = runs_of(of_word)
+                if not len(n):
+                    continue
+                line = of_word[begin]
+                doc = np.searchsorted(firsts, line, "right") - 1
+                keys = split.sequences(hashes, begin, n)
+                new = np.zeros(len(n), bool)
+                for i, key in enumerate(keys.tolist()):
+                    if n[i] >= FUZZY and key not in seen:
+                        seen.add(key)
+                        new[i] = True
+                if len(seen) > 200_000:
+                    seen.clear()
+                many, signs, blocks = np.zeros(len(n) + 1, np.int32), np.zeros((len(n), 3), np.int64), np.zeros(0, np.int64)
+                if new.any():
+                    some = hashes[np.repeat(new, n)]
+                    blocks, of = blocks_of(some, n[new])
+                    many[1:][new] = np.bincount(of, minlength=int(new.sum()))
+                    signs[new] = signatures(some, n[new])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(many, dtype=np.int32)), pa.array(blocks))
+                yield pa.record_batch([batch["doc_id"].slice(part.start, part.stop - part.start).take(pa.array(doc)), pa.array(line - firsts[doc]), pa.array(keys), lists, *(pa.array(c) for c in signs.T)], ["doc_id", "line", "key", "blocks", *SIGNATURE])
 
     rows = texts_with_id(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return map_arrow(rows, found, "doc_id long, line long, key long, blocks array<long>, s0 long, s1 long, s2 long")
@@ -270,16 +246,69 @@ def edit_distance(a: list, b: list) -> int:
     return score
 
 
+def distances(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, most: int) -> np.ndarray:
+    """Edit distances of pairs of sequences, the columns of x and y, of lengths p and q; right where they are up to ``most``.
+
+    The band of Ukkonen, row by row, over all pairs at once.
+    """
+    band = 2 * most + 1
+    step = np.arange(band, dtype=np.int16)[:, None]
+    far = np.int16(20_000)
+    padded = np.full((x.shape[0] + y.shape[0] + band, x.shape[1]), -1, y.dtype)
+    padded[most : most + y.shape[0]] = y
+    row = np.where(step >= most, step - np.int16(most), far) + np.zeros((1, x.shape[1]), np.int16)
+    out = np.full(x.shape[1], far, np.int16)
+    order = np.argsort(p, kind="stable")
+    ends = np.searchsorted(p[order], np.arange(x.shape[0] + 2))
+    for i in range(x.shape[0] + 1):
+        if i:
+            # place k of the band is column i + k - most of the table
+            new = row + (padded[i - 1 : i - 1 + band] != x[i - 1])
+            np.minimum(new[:-1], row[1:] + np.int16(1), out=new[:-1])
+            new[: max(0, most - i)] = far
+            new -= step
+            np.minimum.accumulate(new, axis=0, out=new)
+            row = new + step
+        done = order[ends[i] : ends[i + 1]]
+        if len(done):
+            at = q[done] - i + most
+            inside = (at >= 0) & (at < band)
+            out[done[inside]] = row[at[inside], done[inside]]
+    return out
+
+
+def similar_pairs(x: pa.Array, y: pa.Array, similarity: float) -> np.ndarray:
+    """Which pairs of lists of int32 have that edit similarity."""
+    (xs, p, at), (ys, q, bt) = ((a.flatten().to_numpy(), np.diff(a.offsets.to_numpy()), np.cumsum(np.diff(a.offsets.to_numpy())) - np.diff(a.offsets.to_numpy())) for a in (x, y))
+    top = edits(np.maximum(p, q), similarity)
+    out = np.zeros(len(p), bool)
+    maybe = np.abs(p - q) <= top
+    many = np.maximum(p, q)
+    for i in np.flatnonzero(maybe & (many > LONG)):
+        out[i] = edit_distance(xs[at[i] : at[i] + p[i]].tolist(), ys[bt[i] : bt[i] + q[i]].tolist()) <= top[i]
+    todo = np.flatnonzero(maybe & (many <= LONG))
+    todo = todo[np.argsort(many[todo], kind="stable")]
+    start = 0
+    while start < len(todo):
+        # pairs of like length, so that the band fits all, some hundred thousand cells a row
+        stop = start + int(np.searchsorted(many[todo[start:]], 1.1 * many[todo[start]] + 4, "right"))
+        stop = min(stop, start + max(1, 200_000 // (2 * int(top[todo[stop - 1]]) + 1)))
+        some = todo[start:stop]
+
+        def table(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+            place = np.arange(n.max() if len(n) else 0)[:, None]
+            return np.where(place < n, values[np.minimum(first + place, len(values) - 1)], -2)
+
+        out[some] = distances(table(xs, at[some], p[some]), table(ys, bt[some], q[some]), p[some], q[some], int(top[some].max())) <= top[some]
+        start = stop
+    return out
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            u, v, x, y = (c.to_pylist() for c in batch.columns)
-            keep = []
-            for p, q in zip(x, y):
-                p, q = p.split(), q.split()
-                most = max(len(p), len(q))
-                keep.append(abs(len(p) - len(q)) <= (1 - similarity) * most + 1e-9 and edit_distance(p, q) <= (1 - similarity) * most + 1e-9)
-            yield pa.record_batch([pa.array([a for a, k in zip(u, keep) if k], pa.int64()), pa.array([b for b, k in zip(v, keep) if k], pa.int64())], ["u", "v"])
+        for batch in slices(batches, 4000):
+            keep = pa.array(similar_pairs(batch["x"], batch["y"], similarity))
+            yield pa.record_batch([batch["u"].filter(keep), batch["v"].filter(keep)], ["u", "v"])
 
     first = pairs.join(texts.select(F.col("key").alias("v"), F.col("words").alias("y")), "v")
     both = first.join(texts.select(F.col("key").alias("u"), F.col("words").alias("x")), "u").select("u", "v", "x", "y")
@@ -287,28 +316,34 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def texts_of(docs: DataFrame, keys: DataFrame, lines: DataFrame) -> DataFrame:
-    """(key, words) of the lines in ``keys``, read again from the documents in which they are first; only those documents
-    are split again, and only those lines leave them."""
+    """(key, words) of the lines in ``keys``, read again from the documents in which they are first: 31 bits of each word's
+    hash. Only those documents are split again, and only those lines leave them."""
     wanted = stage(lines.join(keys, "key", "left_semi").select("key", F.xxhash64("first.doc_id").alias("doc")), "wanted")
     cast = docs.sparkSession.sparkContext.broadcast((bloom_words(wanted, "doc"), bloom_words(wanted, "key")))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_doc, by_key = cast.value
+        split = Splitter()
         seen: set[int] = set()
         for batch in slices(batches):
             texts = batch["text"].filter(pa.array(in_bloom(by_doc, batch["doc"].to_numpy()))).to_pylist()
-            rows = [(line_key(w), w) for text in texts for _, w in line_words(text, FUZZY)]
-            if not rows:
-                continue
-            ok = in_bloom(by_key, np.array([k for k, _ in rows], np.int64))
-            got = {k: " ".join(w) for (k, w), yes in zip(rows, ok) if yes and k not in seen}
-            if len(seen) > 200_000:
-                seen.clear()
-            seen.update(got)
-            yield pa.record_batch([pa.array(got.keys(), pa.int64()), pa.array(got.values(), pa.string())], ["key", "words"])
+            for part in chunked(texts):
+                hashes, of_word, _ = split(texts[part])
+                begin, n = runs_of(of_word)
+                keys = split.sequences(hashes, begin, n)
+                new = (n >= FUZZY) & in_bloom(by_key, keys)
+                for i in np.flatnonzero(new):
+                    new[i] = keys[i] not in seen
+                    seen.add(int(keys[i]))
+                if len(seen) > 200_000:
+                    seen.clear()
+                if new.any():
+                    ends = np.concatenate([[0], np.cumsum(n[new])]).astype(np.int32)
+                    words = (hashes[np.repeat(new, n)] >> np.uint64(33)).astype(np.int32)
+                    yield pa.record_batch([pa.array(keys[new]), pa.ListArray.from_arrays(pa.array(ends), pa.array(words))], ["key", "words"])
 
     rows = texts_with_id(docs).select(F.xxhash64(F.col("doc_id").cast("long")).alias("doc"), "text")
-    return map_arrow(rows, found, "key long, words string").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return map_arrow(rows, found, "key long, words array<int>").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def drops_of(seen: DataFrame, lines: DataFrame, comps: DataFrame) -> DataFrame:
