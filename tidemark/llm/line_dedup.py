@@ -40,6 +40,8 @@ by_value(__name__)
 BLOCK, BLOCKS, RADIUS, PARITY_BITS = 3, 10, 26, 112
 FEW, HUBS, ALL_PAIRS, MOST, LONG = 24, 8, 1024, 65535, 600
 SIGNATURE = ["s0", "s1", "s2"]
+#: A larger parity sketch, for lines of crowded buckets only.
+SKETCH = ["t0", "t1", "t2", "t3"]
 #: Fewer words allow no edit.
 FUZZY = 4
 
@@ -93,10 +95,15 @@ def signatures(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
 
     A word put in or taken out turns one parity bit over and a word replaced two at most, so many different bits rule a pair out.
     """
-    at = np.repeat(np.arange(len(n)), n) * 128 + ((hashes >> np.uint64(8)) % np.uint64(PARITY_BITS)).astype(np.int64)
-    parity = np.packbits((np.bincount(at, minlength=128 * len(n)) & 1).astype(np.uint8)).reshape(len(n), 16)
-    parity.view(np.uint16)[:, 7] = np.minimum(n, MOST)
-    return np.concatenate([simhashes(hashes, np.cumsum(n) - n)[:, None], parity.view(np.int64)], axis=1)
+    found = parity(hashes >> np.uint64(8), n, PARITY_BITS, 128)
+    found.view(np.uint16)[:, 7] = np.minimum(n, MOST)
+    return np.concatenate([simhashes(hashes, np.cumsum(n) - n)[:, None], found], axis=1)
+
+
+def parity(hashes: np.ndarray, n: np.ndarray, bits: int, room: int) -> np.ndarray:
+    """int64 by line: ``bits`` parities, and zeros up to ``room`` bits."""
+    at = np.repeat(np.arange(len(n)), n) * room + (hashes % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=room * len(n)) & 1).astype(np.uint8)).view(np.int64).reshape(len(n), room // 64)
 
 
 def words_in(s: np.ndarray) -> np.ndarray:
@@ -110,7 +117,8 @@ def may_be_near(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     p, q = words_in(a), words_in(b)
     most, apart = np.maximum(p, q), np.abs(p - q)
     top = edits(most, similarity)
-    return (np.bitwise_count(x[:, 0]) <= RADIUS) & ((most == MOST) | (apart <= top) & (bits <= 2 * top - apart))
+    more = np.bitwise_count(x[:, 3:]).sum(axis=1, dtype=np.int64)
+    return (np.bitwise_count(x[:, 0]) <= RADIUS) & ((most == MOST) | (apart <= top) & (np.maximum(bits, more) <= 2 * top - apart))
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -173,7 +181,7 @@ def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray,
         if not batch.num_rows:
             continue
         cols = {c: batch[c].to_numpy(zero_copy_only=False) for c in batch.schema.names}
-        part = cols["bucket"], np.stack([cols[c] for c in SIGNATURE], axis=1), cols["key"], cols.get("comp", cols["key"]), cols.get("guest", np.zeros(batch.num_rows, bool))
+        part = cols["bucket"], np.stack([cols[c] for c in SIGNATURE + SKETCH if c in cols], axis=1), cols["key"], cols.get("comp", cols["key"]), cols.get("guest", np.zeros(batch.num_rows, bool))
         # the rows of the last bucket wait for the next batch
         cut = np.searchsorted(part[0], part[0][-1])
         if cut or held and held[-1][0][-1] != part[0][-1]:
@@ -277,36 +285,61 @@ def distances(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray, most:
     return out
 
 
+def surplus(words: np.ndarray, n: np.ndarray, others: np.ndarray, m: np.ndarray, bins: int = 512) -> np.ndarray:
+    """A lower bound of the edit distance of pairs of sequences, given one after another: words that one has and the other lacks."""
+    most, few = (np.bincount(np.repeat(np.arange(len(k)), k) * bins + (w & (bins - 1)), minlength=bins * len(k)) for w, k in ((words, n), (others, m)))
+    apart = (most - few).reshape(len(n), bins)
+    return np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
+
+
+def one_place(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """An upper bound of the edit distance of pairs of sequences, columns as for :func:`distances`: the least if words are put
+    in or left out in one place only."""
+    n, both = min(x.shape[0], y.shape[0]), np.minimum(p, q)
+    i = np.arange(n)[:, None]
+    inside, column = i < both, np.arange(len(p))
+    zero = np.zeros((1, len(p)), np.int32)
+    from_start = np.concatenate([zero, np.cumsum((x[:n] != y[:n]) & inside, axis=0, dtype=np.int32)])
+    from_end = np.concatenate([zero, np.cumsum((x[np.maximum(p - 1 - i, 0), column] != y[np.maximum(q - 1 - i, 0), column]) & inside, axis=0, dtype=np.int32)])
+    at = np.arange(n + 1)[:, None]
+    together = np.where(at <= both, from_start + from_end[np.maximum(both - at, 0), column], MOST)
+    return together.min(axis=0) + np.abs(p - q)
+
+
 def similar_pairs(x: pa.Array, y: pa.Array, similarity: float) -> np.ndarray:
-    """Which pairs of lists of int32 have that edit similarity."""
-    (xs, p, at), (ys, q, bt) = ((a.flatten().to_numpy(), np.diff(a.offsets.to_numpy()), np.cumsum(np.diff(a.offsets.to_numpy())) - np.diff(a.offsets.to_numpy())) for a in (x, y))
+    """Which pairs of lists of int32 have that edit similarity. Bounds settle most of them."""
+    (xs, p, at), (ys, q, bt) = ((a.flatten().to_numpy(), n, np.cumsum(n) - n) for a in (x, y) for n in [np.diff(a.offsets.to_numpy())])
     top = edits(np.maximum(p, q), similarity)
     out = np.zeros(len(p), bool)
-    maybe = np.abs(p - q) <= top
     many = np.maximum(p, q)
+    maybe = (np.abs(p - q) <= top) & (surplus(xs, p, ys, q) <= top)
     for i in np.flatnonzero(maybe & (many > LONG)):
         out[i] = edit_distance(xs[at[i] : at[i] + p[i]].tolist(), ys[bt[i] : bt[i] + q[i]].tolist()) <= top[i]
     todo = np.flatnonzero(maybe & (many <= LONG))
     todo = todo[np.argsort(many[todo], kind="stable")]
+
+    def table(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+        place = np.arange(max(1, n.max(initial=0)))[:, None]
+        return np.where(place < n, values[np.minimum(first + place, len(values) - 1)], -2) if len(values) else np.full((1, len(n)), -2)
+
     start = 0
     while start < len(todo):
         # pairs of like length, so that the band fits all, some hundred thousand cells a row
         stop = start + int(np.searchsorted(many[todo[start:]], 1.1 * many[todo[start]] + 4, "right"))
-        stop = min(stop, start + max(1, 200_000 // (2 * int(top[todo[stop - 1]]) + 1)))
-        some = todo[start:stop]
-
-        def table(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-            place = np.arange(n.max() if len(n) else 0)[:, None]
-            return np.where(place < n, values[np.minimum(first + place, len(values) - 1)], -2)
-
-        out[some] = distances(table(xs, at[some], p[some]), table(ys, bt[some], q[some]), p[some], q[some], int(top[some].max())) <= top[some]
-        start = stop
+        some = todo[start : min(stop, start + max(1, 200_000 // (2 * int(top[todo[stop - 1]]) + 1)))]
+        start += len(some)
+        left, right = table(xs, at[some], p[some]), table(ys, bt[some], q[some])
+        sure = one_place(left, right, p[some], q[some]) <= top[some]
+        out[some[sure]] = True
+        if not sure.all():
+            rest = some[~sure]
+            out[rest] = distances(left[:, ~sure], right[:, ~sure], p[rest], q[rest], int(top[rest].max())) <= top[rest]
     return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 4000):
+        for batch in slices(batches, 2000):
             keep = pa.array(similar_pairs(batch["x"], batch["y"], similarity))
             yield pa.record_batch([batch["u"].filter(keep), batch["v"].filter(keep)], ["u", "v"])
 
@@ -316,7 +349,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def texts_of(docs: DataFrame, keys: DataFrame, lines: DataFrame) -> DataFrame:
-    """(key, words) of the lines in ``keys``, read again from the documents in which they are first: 31 bits of each word's
+    """(key, words, t0, t1, t2, t3) of the lines in ``keys``, read again from the documents in which they are first: 31 bits of each word's
     hash. Only those documents are split again, and only those lines leave them."""
     wanted = stage(lines.join(keys, "key", "left_semi").select("key", F.xxhash64("first.doc_id").alias("doc")), "wanted")
     cast = docs.sparkSession.sparkContext.broadcast((bloom_words(wanted, "doc"), bloom_words(wanted, "key")))
@@ -339,11 +372,12 @@ def texts_of(docs: DataFrame, keys: DataFrame, lines: DataFrame) -> DataFrame:
                     seen.clear()
                 if new.any():
                     ends = np.concatenate([[0], np.cumsum(n[new])]).astype(np.int32)
-                    words = (hashes[np.repeat(new, n)] >> np.uint64(33)).astype(np.int32)
-                    yield pa.record_batch([pa.array(keys[new]), pa.ListArray.from_arrays(pa.array(ends), pa.array(words))], ["key", "words"])
+                    some = hashes[np.repeat(new, n)]
+                    words = pa.ListArray.from_arrays(pa.array(ends), pa.array((some >> np.uint64(33)).astype(np.int32)))
+                    yield pa.record_batch([pa.array(keys[new]), words, *(pa.array(c) for c in parity(some >> np.uint64(40), n[new], 256, 256).T)], ["key", "words", *SKETCH])
 
     rows = texts_with_id(docs).select(F.xxhash64(F.col("doc_id").cast("long")).alias("doc"), "text")
-    return map_arrow(rows, found, "key long, words array<int>").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return map_arrow(rows, found, "key long, words array<int>, t0 long, t1 long, t2 long, t3 long").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def drops_of(seen: DataFrame, lines: DataFrame, comps: DataFrame) -> DataFrame:
@@ -387,7 +421,7 @@ def block_pairs(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def pairs_across(rows: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): pairs that may be near of lines (bucket, key, s0, s1, s2, comp, guest) in one bucket and in different components;
+    """(u, v): pairs that may be near of lines (bucket, key, s0 to s2, t0 to t3, comp, guest) in one bucket and in different components;
     two guests are no pair."""
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,13 +450,13 @@ def similar_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     links = stage(verified(pairs, texts, similarity), "links")
     comps = connected_components(links)
     if crowded.head(1):
-        rows = crowded.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        rows = crowded.join(texts.select("key", *SKETCH), "key").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
         # lines of similar length are in one length class or in neighbouring ones; each class is a bucket, with the class below as guests
         size = F.floor(F.log(F.expr("shiftrightunsigned(s2, 48)").cast("double")) / float(-np.log(similarity)) + 1e-9)
         both = F.explode(F.array(F.struct(F.lit(0).alias("up"), F.lit(False).alias("guest")), F.struct(F.lit(1).alias("up"), F.lit(True).alias("guest"))))
         rows = rows.join(mixed, "bucket", "left_semi").select("*", both.alias("as"))
-        rows = rows.select(F.xxhash64("bucket", size + F.col("as.up")).alias("bucket"), "key", *SIGNATURE, "comp", "as.guest").repartition(n, "bucket").sortWithinPartitions("bucket")
+        rows = rows.select(F.xxhash64("bucket", size + F.col("as.up")).alias("bucket"), "key", *SIGNATURE, *SKETCH, "comp", "as.guest").repartition(n, "bucket").sortWithinPartitions("bucket")
         more = stage(pairs_across(rows, similarity).select(*ends).distinct().join(pairs, ["u", "v"], "left_anti"), "more")
         if more.head(1):
             links = stage(links.union(verified(more, texts, similarity)), "links")

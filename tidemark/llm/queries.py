@@ -41,7 +41,7 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))[0]
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))[0].drop("text_key")
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
