@@ -239,9 +239,10 @@ def test_neighbours(spark):
     x[1000:2000] = x[7]  # a third are one vector
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     rows += [(5000, None), (5050, [0.0] * 16), (5100, [float("nan")] * 16), (5150, [None] + [1.0] * 15), (5200, []), (5250, [1.0]), (None, [1.0] * 16), (50, rows[50][1])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    rows += [(6000, [1.0, 0.0]), (6001, [1.0, 1.0]), (6002, [1.0, 3.0]), (6002, [1.0, -0.1])]  # another dimension, and an id with two vectors
+    df = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<double>, key int, score int")
     got = defaultdict(list)
-    for r in ann.neighbours(df, "vec_id % 50 = 0", least=1200).orderBy("query_id", "rank").collect():
+    for r in ann.neighbours(df, "vec_id % 50 = 0").orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     d = x.astype(float)
     d /= np.linalg.norm(d, axis=1, keepdims=True)
@@ -253,6 +254,7 @@ def test_neighbours(spark):
         hits += len(set(best) & {v for v, _ in got[q]})
         total += 5
         assert len(got[q]) == 5 and all(abs(c - s[v]) < 1e-9 for v, c in got[q])
+    assert [v for v, _ in got.pop(6000)] == [6002, 6001]
     assert set(got) == set(range(0, 3000, 50)) and hits >= 0.9 * total
     assert [v for v, _ in got[1000]] == [7, 1001, 1002, 1003, 1004]
     assert ann.neighbours(df.where("false"), "true").count() == 0

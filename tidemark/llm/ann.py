@@ -4,13 +4,15 @@ then exact reranking of the rows in the leaves found.
 The trees are fitted on a bounded sample of distinct vectors (``sample``, by smallest hash); every row is indexed. Equal
 vectors are one class that keeps its k + 1 smallest ids, which is all that can be among k neighbours. A query walks all
 trees at once by the smallest margin to a hyperplane until its leaves hold as many rows, over all trees, as ``share`` of
-all classes (``least`` at least). On vectors without structure in 64 dimensions 0.45 gives a recall of 0.9 and more; where
-neighbours are nearer than that, much less does.
+all classes, at any number of rows. On vectors without structure in 64 dimensions little can be left out: 0.8 scores some
+53 % of all rows and gives a recall of 0.93 at 2000 and at 10000 rows and 0.98 at 50000; where neighbours are nearer than
+that, much less does.
 Rows and visiting queries meet by (tree, leaf, block): leaves are cut into blocks of bounded size, so a leaf of any size
 is worked on by many tasks, and each block scores its queries by one matrix product at a time.
 
-Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part, nor do those of a
-dimension other than the commonest (the larger one, if two are as common); null ids take no part; a repeated row counts once; no query or no candidate
+Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component take no part; vectors have a cosine
+with those of their own dimension only, so each dimension is searched by itself; null ids take no part; a repeated row counts
+once; of several vectors of one id the smallest is the query, and the nearest counts as candidate; no query or no candidate
 gives an empty result. Only vec_id and embedding are read.
 """
 
@@ -25,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_value, stage
+from .common import by_value, map_arrow, stage, union_all
 
 by_value(__name__)
 
-TREES, SAMPLE, LEAF, BLOCK, SHARE = 24, 20_000, 24, 4096, 0.45
+TREES, SAMPLE, LEAF, BLOCK, SHARE = 24, 20_000, 96, 4096, 0.8
 
 
 class Forest:
@@ -105,9 +107,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     kind = vectors.schema["embedding"].dataType.simpleString()
     x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("embedding"))
     fine = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(embedding, x -> x <> 0)"
-    x = x.where(fine)
-    common = x.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    return x.where(F.size("embedding") == (common["n"] if common else 0))
+    return x.where(fine)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -115,18 +115,25 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def neighbours(vectors: DataFrame, is_query: str, k: int = 5, trees: int = TREES, sample: int = SAMPLE, share: float = SHARE, least: int = 4000) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query: str, k: int = 5, trees: int = TREES, sample: int = SAMPLE, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows found for each row that the SQL condition ``is_query`` selects."""
+    rows = usable(vectors)
+    sizes = [r["n"] for r in rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count")).collect()]
+    if not sizes:
+        return vectors.sparkSession.range(0).selectExpr("id query_id", "cast(null as int) rank", "id vec_id", "cast(null as double) score")
+    return union_all([neighbours_in(rows.where(F.size("embedding") == size), is_query, k, trees, sample, share) for size in sizes])
+
+
+def neighbours_in(vectors: DataFrame, is_query: str, k: int, trees: int, sample: int, share: float) -> DataFrame:
+    """:func:`neighbours` among usable vectors of one dimension."""
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = usable(vectors).withColumn("key", F.xxhash64("embedding"))
+    rows = vectors.withColumn("key", F.xxhash64("embedding"))
     kind = rows.schema["embedding"].dataType.simpleString()
     rows = rows.dropDuplicates(["vec_id", "key"])
     nth = F.row_number().over(Window.partitionBy("key", "embedding").orderBy("vec_id"))
     least_ids = rows.withColumn("nth", nth).where(F.col("nth") <= k + 1)
     classes = stage(least_ids.groupBy("key", "embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "classes")
     got = classes.select("key", "embedding").orderBy("key").limit(sample).toArrow()
-    if not got.num_rows:
-        return vectors.sparkSession.range(0).selectExpr("id query_id", "cast(null as int) rank", "id vec_id", "cast(null as double) score")
     forest = vectors.sparkSession.sparkContext.broadcast(Forest(matrix(got["embedding"].combine_chunks()), trees, LEAF))
     total = classes.count()
 
@@ -137,10 +144,10 @@ def neighbours(vectors: DataFrame, is_query: str, k: int = 5, trees: int = TREES
             for t in range(len(forest.value.trees)):
                 yield pa.record_batch([pa.array(np.full(len(x), t)), pa.array(forest.value.leaves_of(unit, t)), batch["key"], batch["embedding"]], ["tree", "leaf", "key", "embedding"])
 
-    index = classes.select("key", "embedding").mapInArrow(indexed, f"tree long, leaf long, key long, embedding {kind}")
+    index = map_arrow(classes.select("key", "embedding"), indexed, f"tree long, leaf long, key long, embedding {kind}")
     leaf_sizes = {(r["tree"], r["leaf"]): r["count"] for r in index.groupBy("tree", "leaf").count().collect()}
     sizes = vectors.sparkSession.sparkContext.broadcast(leaf_sizes)
-    wanted = max(least, int(share * total))
+    wanted = int(share * total) + 1
 
     def visiting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +163,8 @@ def neighbours(vectors: DataFrame, is_query: str, k: int = 5, trees: int = TREES
         blocks = np.array([-(-sizes.value[t, x] // BLOCK) for t, x in zip(tree, leaf)])
         return pd.Series((key.to_numpy() >> 7) % blocks)
 
-    queries = rows.where(is_query).select("vec_id", "embedding").dropDuplicates(["vec_id"])
-    visits = queries.repartition(n, "vec_id").mapInArrow(visiting, f"tree long, leaf long, block long, key long, embedding {kind}")
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    visits = map_arrow(queries.repartition(n, "vec_id"), visiting, f"tree long, leaf long, block long, key long, embedding {kind}")
     both = index.withColumn("block", blocks_of("tree", "leaf", "key")).select("tree", "leaf", "block", "key", "embedding", F.lit(0).alias("asks")).union(visits.select("*", F.lit(1).alias("asks")))
     bucket = F.xxhash64("tree", "leaf", "block")
     dealt = both.select(bucket.alias("bucket"), "asks", "key", "embedding").repartition(n, "bucket").sortWithinPartitions("bucket", "asks")
@@ -190,8 +197,8 @@ def neighbours(vectors: DataFrame, is_query: str, k: int = 5, trees: int = TREES
                 i, j = np.nonzero(s >= floor[:, None])
                 yield pa.record_batch([pa.array(key[a:b][i]), pa.array(keys[j]), pa.array(scores(q[i], raw[j]))], ["query_id", "key", "score"])
 
-    found = dealt.mapInArrow(scored, "query_id long, key long, score double").groupBy("query_id", "key").agg(F.max("score").alias("score"))
-    each = found.join(classes.select("key", F.explode("ids").alias("vec_id")), "key").where("vec_id <> query_id")
+    found = map_arrow(dealt, scored, "query_id long, key long, score double").groupBy("query_id", "key").agg(F.max("score").alias("score"))
+    each = found.join(classes.select("key", F.explode("ids").alias("vec_id")), "key").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return each.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 

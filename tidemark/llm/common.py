@@ -33,9 +33,12 @@ OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one of the application where that is unset, as in local tests."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one of the application in local mode, in which
+    all tasks see it, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in OWN:
             OWN[app] = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
@@ -52,6 +55,11 @@ def stage(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(rows: DataFrame, most: int = 300_000) -> DataFrame:
+    """``rows`` of a staged table of few narrow columns, broadcast in joins if counted to be ``most`` at most."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

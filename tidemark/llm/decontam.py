@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fence, stage
+from .common import fence, small, stage
 
 WINDOW, MIN_TOKENS, MIN_COVERAGE = 8, 4, 0.3
 MOST_BITS, BROADCAST_ROWS = 1 << 22, 500_000
@@ -143,5 +143,5 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, mi
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose document is contaminated by any item; rows without an id stay."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    bad = stage(contaminated(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
+    return docs.join(small(bad), F.col("doc_id") == F.col("_bad"), "left_anti")

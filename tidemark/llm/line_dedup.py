@@ -75,10 +75,17 @@ def blocks_of(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
         out = (out ^ (out >> np.uint64(31))) * ODD
         return (out ^ (out >> np.uint64(32))) >> np.uint64(20)
 
-    all_but = [line[fives] << np.uint64(44) | mixed(*(hashes[fives + i] for i in (4, 3, 1, 0))), line[fours] << np.uint64(44) | mixed(*(hashes[fours + i] for i in (3, 2, 1, 0)))]
-    inside = line[: -BLOCK + 1] == line[BLOCK - 1 :]
-    code = np.concatenate([(line[: -BLOCK + 1] << np.uint64(44) | mixed(*(hashes[i : len(hashes) - BLOCK + 1 + i] for i in range(BLOCK))))[inside], *all_but])
-    code = np.unique(code)
+    whole = [line[fives] << np.uint64(44) | mixed(*(hashes[fives + i] for i in (4, 3, 1, 0))), line[fours] << np.uint64(44) | mixed(*(hashes[fours + i] for i in (3, 2, 1, 0)))]
+    of, block = line[: -BLOCK + 1], mixed(*(hashes[i : len(hashes) - BLOCK + 1 + i] for i in range(BLOCK)))
+    inside = of == line[BLOCK - 1 :]
+    # long lines sort the blocks below a bound only, unless that leaves too few
+    bound = (2.5 * BLOCKS / np.maximum(n - BLOCK + 1, 2.5 * BLOCKS) * (1 << 44)).astype(np.uint64)
+    low = inside & (block <= np.repeat(bound, n)[: -BLOCK + 1])
+    code = np.unique(np.concatenate([of[low] << np.uint64(44) | block[low], *whole]))
+    few = np.bincount((code >> np.uint64(44)).astype(np.int64), minlength=len(n)) < BLOCKS
+    rest = inside & ~low & np.repeat(few, n)[: -BLOCK + 1]
+    if rest.any():
+        code = np.sort(np.concatenate([code, np.unique(of[rest] << np.uint64(44) | block[rest])]), kind="stable")
     of = (code >> np.uint64(44)).astype(np.int64)
     first = np.arange(len(of)) - np.searchsorted(of, of) < BLOCKS
     return (code[first] & np.uint64((1 << 44) - 1)).astype(np.int64), of[first]

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_words, by_value, connected_components, map_arrow, passing, slices, stage
+from .common import bloom_words, by_value, connected_components, map_arrow, passing, slices, small, stage
 from .words import Splitter, chunked
 
 by_value(__name__)
@@ -377,8 +377,8 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     marked = classes.where("doc_id is not null and text_key is not null").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.max("kept").alias("_kept"), F.count("*").alias("_rows"))
     out = stage(marked.where("not _kept or _rows > 1"), "not-kept")
     same = (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_key"))
-    once = docs.join(out, same, "left_anti")
+    once = docs.join(small(out), same, "left_anti")
     repeated = out.where("_kept and _rows > 1")
     if not repeated.head(1):
         return once
-    return once.unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return once.unionByName(docs.join(small(repeated), same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -11,7 +11,8 @@ revisit unresolved: an older response is not tried, since the server spoke of th
 
 Defined cases: a null or unusable url has the canonical form '' and is never resolved; null dates come before all others
 and null headers are empty; a response never resolves a revisit of its own date or an earlier one; responses of one url
-and date: the larger record_id counts. Repeated rows give a row each. An empty table gives an empty result.
+and date: the larger record_id counts; of responses of one record_id the latest, then the one of larger hash, gives the payload.
+Repeated rows give a row each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stage
+
 BUCKETS = 256
 #: Headers of a 304 that replace the stored ones (RFC 9110, section 15.4.5, and Last-Modified).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
@@ -74,8 +77,14 @@ def resolve(records: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         .otherwise("unchecked")
     )
     decided = joined.select("record_id", "url_key", "status", "headers", outcome.alias("outcome"), F.when(outcome.isin("resolved", "unchecked"), F.col("found.record_id")).alias("response_id"))
-    stored = records.where((F.col("kind") == "response") & (F.col("status") == 200)).select(F.col("record_id").alias("response_id"), F.col("status").alias("_status"), lower_keys(F.col("headers")).alias("_headers"), F.col("payload").alias("_payload"))
-    out = decided.join(stored.dropDuplicates(["response_id"]), "response_id", "left")
+    decided = stage(decided, "decided")
+    # payloads that no revisit asks for stay where they are; one row an id, in a table, so that a join may split what asks for it
+    asked = decided.select("response_id").where("response_id is not null").distinct()
+    held = records.where((F.col("kind") == "response") & (F.col("status") == 200)).withColumnRenamed("record_id", "response_id").join(asked, "response_id", "left_semi")
+    ordered = F.struct("date", F.xxhash64("payload"), F.xxhash64(F.array_sort(F.map_entries("headers"))))
+    stored = held.groupBy("response_id").agg(F.max_by(F.struct("status", "headers", "payload"), ordered).alias("_of"))
+    stored = stage(stored, "stored").select("response_id", F.col("_of.status").alias("_status"), lower_keys(F.col("_of.headers")).alias("_headers"), F.col("_of.payload").alias("_payload"))
+    out = decided.join(stored, "response_id", "left")
     permitted = F.map_filter("headers", lambda k, v: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter("_headers", lambda k, v: ~F.coalesce(F.map_contains_key(permitted, k), F.lit(False))), permitted)
     done = F.col("response_id").isNotNull()
