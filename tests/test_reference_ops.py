@@ -92,8 +92,8 @@ def test_replay(spark):
 
 
 def test_range_counts_as_of(spark, log, rows):
-    asked = [(s, a, a + w) for s, a, w in ((10, -20, 40), (500, -60, 120), (1999, 0, 0), (0, -60, 120), (900, 5, -3), (5000, -60, 120))]
-    got = {r["seq"]: r["size"] for r in replay.range_counts(log, spark.createDataFrame(asked, "seq long, low int, high int"), width=8).collect()}
+    asked = [(s, a, a + w) for s, a, w in ((10, -20, 40), (500, -60, 120), (1999, 0, 0), (0, -60, 120), (900, 5, -3), (5000, -60, 120), (77, -(2**31), 2**32 - 1), (1200, -5, 70))]
+    got = {r["seq"]: r["size"] for r in replay.range_counts(log, spark.createDataFrame(asked, "seq long, low long, high long"), buckets=7).collect()}
     assert got == {s: sum(a <= k <= b for k in replayed([r for r in rows if r[0] <= s])) for s, a, b in asked}
 
 
@@ -182,8 +182,12 @@ def test_workload(spark):
     w = workload.Workload(puts=200, gets=100, ranges=20, deletes=30, miss=0.0, skew=0.5, gaussian=True)
     ops = workload.generate(spark, w).orderBy("seq").collect()
     assert [r["seq"] for r in ops] == list(range(350)) and ops[0]["op"] == "p"
-    keys = {r["a"] for r in ops if r["op"] == "p"}
-    assert all(r["a"] in keys for r in ops if r["op"] in "gd") and all(r["a"] <= r["b"] for r in ops if r["op"] == "r")
+    keys, asked, again = set(), set(), 0
+    for r in ops:  # gets and deletes take keys of the puts before them
+        assert r["op"] not in "gd" or r["a"] in keys
+        again += r["op"] == "g" and r["a"] in asked
+        (keys if r["op"] == "p" else asked if r["op"] == "g" else set()).add(r["a"])
+    assert again > 30 and all(r["a"] <= r["b"] for r in ops if r["op"] == "r")
     assert ops == workload.generate(spark, w).orderBy("seq").collect()
     with pytest.raises(ValueError, match="put"):
         workload.Workload(puts=0)
@@ -244,12 +248,57 @@ def test_shell(spark, tmp_path):
     assert got == ["OK", "10", "", "OK", "OK", "11", "Range (0 to 9):  SIZE: 1", "OK", "OK", "Range (5 to 1):  SIZE: 0", "Range (0 to 9):  SIZE: 1", "Unknown command: q", "Cleanup initiated.", ""]
 
 
+def test_shell_reads_what_is_not_flushed(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("p 1 5\nl a.txt\n")
+    shell = Shell(spark, f"file://{tmp_path}/s", capacity=3)
+    assert shell.run(["p 1 1", "p 2 2", "d 1", "g 1", "g 2", "s"]) == ["OK", "OK", "OK", "", "2", "logical_pairs: 1", *[f"LVL{i}: 0" for i in range(1, 11)], "2:2:M"]
+    assert shell.store.manifest()["version"] == 0  # two keys are held, so nothing was written
+    got = shell.run(["p 3 3", "p 1 9", "d 2", "g 1", "g 2", "g 3", "r 0 9", "s"])
+    assert got[:7] == ["OK", "OK", "OK", "9", "", "3", "Range (0 to 9):  SIZE: 2"] and got[-2:] == ["1:9:M", "3:3:L1"]
+    assert shell.run([f"l {tmp_path}/a.txt", f"l {tmp_path}/a.txt 33", "l", f"l {tmp_path}/none.txt", "g 1"]) == ["OK", "Error: A loaded file cannot load files.", "Error: The number of threads must be from 1 to 32.", "Error: Invalid load format.", f"Error: No such file: {tmp_path}/none.txt", "5"]
+    assert len(shell.loads) == 1
+
+
+def test_store_reads_survive_merges_until_vacuum(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", ratio=2, levels=4)
+    put(store, spark, [(0, 1, 1, False)])
+    before = store.live()
+    for i in range(1, 6):
+        put(store, spark, [(i, i % 3, i, False)])
+    assert pairs(before) == {1: 1} and pairs(store.live()) == {0: 3, 1: 4, 2: 5}
+    assert store.vacuum(keep=100) == 0 and store.vacuum() > 3 and store.vacuum() == 0
+    assert pairs(store.live()) == {0: 3, 1: 4, 2: 5}
+
+
+def test_store_keys_of_any_type(spark, tmp_path):
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    for kind, keys in (("date", [date(2020, 1, i) for i in (1, 5, 9)]), ("timestamp_ntz", [datetime(2020, 1, i, 3) for i in (1, 5, 9)]), ("decimal(9,2)", [Decimal("1.50"), Decimal("2.25"), Decimal("9.00")]), ("string", ["a", "b", "é"]), ("binary", [b"a", b"b", b"\xff"])):
+        store = Store(spark, f"file://{tmp_path}/{kind[:4]}", ratio=5)
+        store.put(spark.createDataFrame([(i, k, i, False) for i, k in enumerate(keys)], f"seq long, key {kind}, value int, tombstone boolean"))
+        run = Store(spark, store.path).manifest()["runs"][0]
+        assert (run["min_key"], run["max_key"]) == (keys[0], keys[2])
+        assert store.get(keys[1]) == 1 and [r["value"] for r in store.range(keys[1], keys[2]).collect()] == [1, 2]
+
+
+def test_command_stream_of_many_clients(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / f"in/{i}.txt").write_text(f"p {i} {i}0\ng {i}\nd {i}\ng {i}\np {i} {i}1")
+    said, shell = [], Shell(spark, f"file://{tmp_path}/s")
+    lines = streaming.command_stream(spark, f"file://{tmp_path}/in", files_per_trigger=1)
+    streaming.answer_stream(lines, shell, f"file://{tmp_path}/c", said.extend).awaitTermination()
+    assert sorted(said) == sorted(["OK", "0", "OK", "", "OK", "OK", "10", "OK", "", "OK", "OK", "20", "OK", "", "OK"])
+    assert {k: w[2] for k, w in shell.held.items()} == {0: 1, 1: 11, 2: 21}
+
+
 def test_stream_in_any_order_and_restart(spark, tmp_path):
     rows = random_log(300, 20, 11)
     for part in (2, 0, 1):  # files arrive out of order
         spark.createDataFrame(rows[part * 100 : part * 100 + 100], LOG).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
     stream = streaming.read_log(spark, f"file://{tmp_path}/in", LOG, files_per_trigger=1)
-    assert pairs(streaming.live_table(stream, "stream_test", f"file://{tmp_path}/c1")) == replayed(rows)
+    assert pairs(streaming.live_table(stream, Store(spark, f"file://{tmp_path}/t", ratio=3), f"file://{tmp_path}/c1")) == replayed(rows)
     store = Store(spark, f"file://{tmp_path}/s", ratio=3)
     streaming.flush_stream(stream, store, f"file://{tmp_path}/c2").awaitTermination()
     more = [(1000 + i, i, i, False) for i in range(10)]

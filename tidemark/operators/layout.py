@@ -7,7 +7,7 @@ the last full batch are in the memtable, level 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .reads import numbered
@@ -39,6 +39,18 @@ def run_bounds(log: DataFrame, **layout) -> DataFrame:
     return runs(log, **layout).groupBy("level", "run").agg(F.min("key").alias("min_key"), F.max("key").alias("max_key"), F.count("*").alias("n"))
 
 
+def running_keys(log: DataFrame, **layout) -> DataFrame:
+    """(seq, batch, keys): how many distinct keys a batch holds after each of its writes."""
+    first = F.min("seq").over(Window.partitionBy("batch", "key")) == F.col("seq")
+    seen = Window.partitionBy("batch").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed(log, **layout).withColumn("first", first).select("seq", "batch", F.count_if("first").over(seen).alias("keys"))
+
+
+def held_keys(log: DataFrame, **layout) -> DataFrame:
+    """(keys): distinct keys in the memtable, deleted ones too."""
+    return placed(log, **layout).where("level = 0").agg(F.count_distinct("key").alias("keys"))
+
+
 def physical_keys(log: DataFrame, levels: int = LEVELS, **layout) -> DataFrame:
     """(level, n) for levels 1 to ``levels``: stored rows, stale ones and tombstones too; 0 for empty levels."""
     counts = runs(log, levels=levels, **layout).groupBy("level").agg(F.count("*").alias("n"))
@@ -61,8 +73,6 @@ def listing(log: DataFrame, **layout) -> DataFrame:
 
 def fence_blocks(rows: DataFrame, block: int = 1024) -> DataFrame:
     """(level, run, block_no, first_key, keys): fence pointers by running size. Approximate: a fence does not restart the sum."""
-    from pyspark.sql import Window
-
     size = F.length(F.concat_ws(" ", F.col("key").cast("string"), F.col("value").cast("bigint").cast("string"), F.col("tombstone").cast("int").cast("string"))) + 1
     w = Window.partitionBy("level", "run").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.withColumn("block_no", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / block).cast("long"))

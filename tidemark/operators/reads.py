@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .resolve import live
@@ -31,19 +31,27 @@ def range_count(log: DataFrame, low, high, right_open: bool = False) -> DataFram
     return range_pairs(log, low, high, right_open).agg(F.count("*").alias("size"))
 
 
-def numbered(df: DataFrame, order: str, name: str, buckets: int = 1024) -> DataFrame:
-    """``df`` with a gapless long ``name`` from 0 by the integer column ``order``.
+def counted(df: DataFrame, order: str, before: dict[str, Column], buckets: int = 1024) -> DataFrame:
+    """``df`` with a long for each name of ``before``: for how many rows ahead of this one, by the integer column ``order``, the
+    condition holds.
 
-    A row number over everything would be one task; here each of ``buckets`` equal ranges of ``order`` is numbered by
+    A running count over everything would be one task; here each of ``buckets`` equal ranges of ``order`` is counted by
     itself and starts at the count of those before it.
     """
     span = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
     low, width = (span["lo"] or 0), ((span["hi"] or 0) - (span["lo"] or 0)) // buckets + 1
     placed = df.withColumn("_bucket", F.floor((F.col(order) - low) / width).cast("int"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = placed.groupBy("_bucket").agg(F.count("*").alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
-    nth = F.row_number().over(Window.partitionBy("_bucket").orderBy(order))
-    return placed.withColumn("_nth", nth).join(F.broadcast(ahead), "_bucket").withColumn(name, F.col("_ahead") + F.col("_nth") - 1).drop("_bucket", "_nth", "_ahead")
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy("_bucket").agg(*[F.count_if(c).alias(f"_{n}") for n, c in before.items()])
+    ahead = totals.select("_bucket", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_ahead_{n}") for n in before])
+    inside = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    here = placed.select("*", *[F.coalesce(F.count_if(c).over(inside), F.lit(0)).alias(f"_here_{n}") for n, c in before.items()])
+    return here.join(F.broadcast(ahead), "_bucket").select(*df.columns, *[(F.col(f"_ahead_{n}") + F.col(f"_here_{n}")).alias(n) for n in before])
+
+
+def numbered(df: DataFrame, order: str, name: str, buckets: int = 1024) -> DataFrame:
+    """``df`` with a gapless long ``name`` from 0 by the integer column ``order``."""
+    return counted(df, order, {name: F.lit(True)}, buckets)
 
 
 def multi_range_counts(log: DataFrame, ranges: DataFrame, buckets: int = 1024) -> DataFrame:

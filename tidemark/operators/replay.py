@@ -25,20 +25,51 @@ def outcomes(ops: DataFrame) -> DataFrame:
     return replay(ops).groupBy("op", "outcome").agg(F.count("*").alias("n"))
 
 
-def range_counts(log: DataFrame, ranges: DataFrame, width: int = 64) -> DataFrame:
-    """(seq, low, high, size): for ranges (seq, low, high) the keys in [low, high] that were live at that moment.
+def counters(ops: DataFrame) -> DataFrame:
+    """(counter, n): what became of all ops (seq, op, key, value) of op p, g, d, r or l, every counter also where it is 0."""
+    names = {("p", "put"): "puts", ("g", "hit"): "successful_gets", ("g", "miss"): "failed_gets", ("d", "effective"): "successful_deletes", ("d", "noop"): "failed_deletes"}
+    found = outcomes(ops.where("op in ('p', 'g', 'd')"))
+    name = F.coalesce(*[F.when((F.col("op") == op) & (F.col("outcome") == what), n) for (op, what), n in names.items()])
+    rest = ops.where("op in ('r', 'l')").groupBy(F.when(F.col("op") == "r", "ranges").otherwise("loads").alias("counter")).agg(F.count("*").alias("n"))
+    both = found.select(name.alias("counter"), "n").union(rest)
+    every = ops.sparkSession.createDataFrame([(n,) for n in [*names.values(), "ranges", "loads"]], "counter string")
+    return every.join(F.broadcast(both), "counter", "left").select("counter", F.coalesce("n", F.lit(0)).alias("n"))
 
-    Ranges meet keys through key ranges of ``width``, by equality, and then take the newest earlier version of each key in
-    one window. Rows grow with the keys a range holds; for static wide ranges see ``multi_range_counts``.
+
+def range_counts(log: DataFrame, ranges: DataFrame, buckets: int = 256) -> DataFrame:
+    """(seq, low, high, size): for ranges (seq, low, high) of integer keys, of any width, the keys in [low, high] that were
+    live at that moment, writes of that seq included.
+
+    A key that comes to life is an event +1 and one that is deleted an event -1; a range has the sum of the earlier events up
+    to its upper end less those below its lower one. Keys are written in hexadecimal digits: what lies below a key is, digit
+    by digit, what shares the digits before and has a smaller one there. So each event and each end is one row a digit, and a
+    row needs the running sums, by seq, of the fifteen smaller digits. They are taken inside ``buckets`` equal ranges of seq
+    and added up over those, so the first digit, which all rows share, is no single task.
     """
-    keys = log.select("key").distinct().withColumn("part", F.floor(F.col("key") / width).cast("long"))
-    parts = ranges.where("low <= high").select("seq", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / width).cast("long"), F.floor(F.col("high") / width).cast("long"))).alias("part"))
-    asked = parts.join(keys, "part").where("key between low and high").select("seq", "key", F.lit(True).alias("asks"), F.lit(None).cast("boolean").alias("tombstone"))
-    both = asked.union(log.select("seq", "key", F.lit(False), "tombstone"))
-    earlier = Window.partitionBy("key").orderBy("seq", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.withColumn("gone", F.last("tombstone", ignorenulls=True).over(earlier)).where("asks")
-    sizes = seen.groupBy("seq").agg(F.count(F.when(~F.col("gone"), 1)).alias("size"))
-    return ranges.join(sizes, "seq", "left").select("seq", "low", "high", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+    before = F.coalesce(F.lag("tombstone").over(Window.partitionBy("key").orderBy("seq")), F.lit(True))
+    events = log.select("seq", F.col("key").cast("long").alias("key"), (before.cast("int") - F.col("tombstone").cast("int")).alias("delta")).where("delta <> 0")
+    span = log.agg(F.min("key").cast("long"), F.max("key").cast("long"), F.min("seq"), F.max("seq")).first()
+    low, high, first, last = (x or 0 for x in span)
+    digits = max(1, -(-(high - low + 1).bit_length() // 4))
+    width = (last - first) // buckets + 1
+    inside = lambda c: F.greatest(F.lit(0), F.least(F.lit(high - low + 1), c - low))
+    ends = ranges.where("low <= high").select("seq", "low", "high", F.explode(F.array(F.struct(inside(F.col("low").cast("long")).alias("x"), F.lit(-1).alias("sign")), F.struct(inside(F.col("high").cast("long") + 1).alias("x"), F.lit(1).alias("sign")))).alias("e")).where("e.x > 0")
+    null = lambda kind: F.lit(None).cast(kind)
+    kind = ranges.schema["low"].dataType.simpleString()
+    both = events.select("seq", (F.col("key") - low).alias("x"), "delta", F.lit(0).alias("sign"), null(kind).alias("low"), null(kind).alias("high")).union(ends.select("seq", "e.x", null("int"), "e.sign", "low", "high"))
+    rows = both.withColumn("digit_no", F.explode(F.sequence(F.lit(0), F.lit(digits - 1)))).withColumn("left", F.expr("shiftright(x, 4 * digit_no)"))
+    rows = rows.withColumn("digit", (F.col("left") % 16).cast("int")).withColumn("prefix", F.shiftright("left", 4)).withColumn("bucket", F.floor((F.greatest(F.lit(first), F.least(F.lit(last + 1), F.col("seq"))) - first) / width))
+    node = ["digit_no", "prefix"]
+    of = lambda d: F.when(F.col("digit") == d, F.col("delta"))
+    earlier = Window.partitionBy(*node, "bucket").orderBy("seq").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    here = rows.select("*", *[F.sum(of(d)).over(earlier).alias(f"d{d}") for d in range(15)]).where("sign <> 0")
+    over = Window.partitionBy(*node).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*node, "bucket").agg(*[F.sum(of(d)).alias(f"d{d}") for d in range(15)])
+    ahead = totals.select(*node, "bucket", *[F.sum(f"d{d}").over(over).alias(f"b{d}") for d in range(15)])
+    smaller = lambda x: sum((F.when(F.col("digit") > d, F.coalesce(f"{x}{d}", F.lit(0))).otherwise(0) for d in range(15)), F.lit(0))
+    sizes = here.join(ahead, [*node, "bucket"]).groupBy("seq", "low", "high").agg(F.sum(F.col("sign") * (smaller("d") + smaller("b"))).alias("size"))
+    out = ranges.join(sizes.withColumnsRenamed({"low": "_low", "high": "_high", "seq": "_seq"}), F.expr("seq = _seq and low = _low and high = _high"), "left")
+    return out.select("seq", "low", "high", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
 
 
 def positional_zip(ops: DataFrame) -> DataFrame:
