@@ -7,7 +7,7 @@ of fewer than four words has no fuzzy partner, since not even one edit is allowe
 An edit breaks at most three of a line's blocks of three words, so lines that are d edits apart and of which the longer one
 has m words share m - 2 - 3d blocks at least (five words also have the block of all but the middle one, four that of all).
 Each line is dealt to its ``BLOCKS`` smallest block hashes. That is a prefix filter: it misses no pair of which the longer line has
-fewer than 20 words, and of longer ones it misses a pair only if none of the shared blocks is among them, which for half of
+fewer than 15 words, and of longer ones it misses a pair only if none of the shared blocks is among them, which for half of
 all blocks shared is one in a few thousand. SimHashes over pigeonhole blocks of *bits* cannot do it: at similarity 0.8
 they are 13 of 64 bits apart, so that blocks wide enough to tell lines apart are hardly ever equal.
 
@@ -37,11 +37,13 @@ from .words import Splitter, chunked, runs_of
 
 by_value(__name__)
 
-BLOCK, BLOCKS, RADIUS, PARITY_BITS = 3, 10, 26, 112
-FEW, HUBS, ALL_PAIRS, MOST, LONG = 24, 8, 1024, 65535, 600
+BLOCK, BLOCKS, RADIUS, PARITY_BITS = 3, 8, 26, 112
+FEW, MANY, HUBS, ALL_PAIRS, MOST, LONG = 8, 3, 8, 1024, 65535, 600
 SIGNATURE = ["s0", "s1", "s2"]
 #: A larger parity sketch, for lines of crowded buckets only.
 SKETCH = ["t0", "t1", "t2", "t3"]
+#: Columns of a line's crowded blocks.
+ALL = [f"b{i}" for i in range(BLOCKS)]
 #: Fewer words allow no edit.
 FUZZY = 4
 
@@ -169,33 +171,33 @@ def texts_with_id(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null and text is not null")
 
 
-def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(bucket, signature, key, comp, guest) of the rows of whole buckets of two keys or more, by the number of words in each;
-    comp is the key, and guest false, where there is no such column."""
-    held: list[tuple[np.ndarray, ...]] = []
+def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The columns of whole buckets of two keys or more, by the number of words in each; ``s`` is the signature, one row a line."""
+    held: list[dict[str, np.ndarray]] = []
 
-    def ordered() -> tuple[np.ndarray, ...]:
-        bucket, s, key, comp, guest = (np.concatenate(c) for c in zip(*held))
-        order = np.lexsort((key, words_in(s), bucket))
-        bucket, key = bucket[order], key[order]
+    def ordered() -> dict[str, np.ndarray]:
+        cols = {c: np.concatenate([h[c] for h in held]) for c in held[0]}
+        order = np.lexsort((cols["key"], words_in(cols["s"]), cols["bucket"]))
+        bucket, key = cols["bucket"][order], cols["key"][order]
         once = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (key[1:] != key[:-1])])
-        order, bucket, key = order[once], bucket[once], key[once]
+        order, bucket = order[once], bucket[once]
         same = bucket[1:] == bucket[:-1]
-        some = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return bucket[some], s[order][some], key[some], comp[order][some], guest[order][some]
+        order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        return {c: x[order] for c, x in cols.items()}
 
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = {c: batch[c].to_numpy(zero_copy_only=False) for c in batch.schema.names}
-        part = cols["bucket"], np.stack([cols[c] for c in SIGNATURE + SKETCH if c in cols], axis=1), cols["key"], cols.get("comp", cols["key"]), cols.get("guest", np.zeros(batch.num_rows, bool))
+        part = {"s": np.stack([cols[c] for c in SIGNATURE + SKETCH if c in cols], axis=1)} | {c: x for c, x in cols.items() if c not in SIGNATURE + SKETCH}
         # the rows of the last bucket wait for the next batch
-        cut = np.searchsorted(part[0], part[0][-1])
-        if cut or held and held[-1][0][-1] != part[0][-1]:
-            held.append(tuple(c[:cut] for c in part))
+        bucket = part["bucket"]
+        cut = np.searchsorted(bucket, bucket[-1])
+        if cut or held and held[-1]["bucket"][0] != bucket[-1]:
+            held.append({c: x[:cut] for c, x in part.items()})
             yield ordered()
             held.clear()
-        held.append(tuple(c[cut:] for c in part))
+        held.append({c: x[cut:] for c, x in part.items()})
     if held:
         yield ordered()
 
@@ -403,7 +405,7 @@ def block_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     very many lines or pairs, (bucket, key, s0, s1, s2, true) and only the pairs with central lines."""
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, s, key, _, _ in whole_runs(batches):
+        for bucket, s, key in ((run["bucket"], run["s"], run["key"]) for run in whole_runs(batches)):
             if not len(bucket):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -412,7 +414,7 @@ def block_pairs(rows: DataFrame, similarity: float) -> DataFrame:
             few = np.flatnonzero(size[run] <= ALL_PAIRS)
             got = [(few[i], few[j]) for i, j in near_pairs(bucket[few], s[few], key[few], similarity)] if len(few) else []
             i, j = (np.concatenate(c) for c in zip(*got)) if got else (few, few)
-            full = (size > ALL_PAIRS) | (size > FEW) & (np.bincount(run[i], minlength=len(size)) > 8 * size)
+            full = (size > ALL_PAIRS) | (size > FEW) & (np.bincount(run[i], minlength=len(size)) > MANY * size)
             i, j = i[~full[run[i]]], j[~full[run[i]]]
             out = [(np.zeros(len(i), np.int64), key[i], key[j], np.zeros((len(i), 2), np.int64), np.zeros(len(i), bool))]
             for k in np.flatnonzero(full):
@@ -428,15 +430,22 @@ def block_pairs(rows: DataFrame, similarity: float) -> DataFrame:
 
 
 def pairs_across(rows: DataFrame, similarity: float) -> DataFrame:
-    """(u, v): pairs that may be near of lines (bucket, key, s0 to s2, t0 to t3, comp, guest) in one bucket and in different components;
-    two guests are no pair."""
+    """(u, v): pairs that may be near of lines (bucket, key, s0 to s2, t0 to t3, comp, guest, of, b0 ...) in one bucket and in
+    different components; two guests are no pair. ``of`` is the block that the bucket is part of and b0 ... are all blocks of
+    the line that are crowded: a pair comes from the smallest that both have."""
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, s, key, comp, guest in whole_runs(batches):
-            for i, j in near_pairs(bucket, s, comp, similarity):
+        for run in whole_runs(batches):
+            key, guest, blocks = run["key"], run["guest"], np.stack([run[b] for b in ALL], axis=1)
+            for i, j in near_pairs(run["bucket"], run["s"], run["comp"], similarity):
                 own = ~(guest[i] & guest[j])
-                if own.any():
-                    yield pa.record_batch([pa.array(key[i[own]]), pa.array(key[j[own]])], ["u", "v"])
+                i, j = i[own], j[own]
+                for k in range(0, len(i), 100_000):
+                    x, y = blocks[i[k : k + 100_000]], blocks[j[k : k + 100_000]]
+                    both = ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).any(axis=2)
+                    first = np.where(both, x, np.iinfo(np.int64).max).min(axis=1) == run["of"][i[k : k + 100_000]]
+                    if first.any():
+                        yield pa.record_batch([pa.array(key[i[k : k + 100_000]][first]), pa.array(key[j[k : k + 100_000]][first])], ["u", "v"])
 
     return map_arrow(rows, paired, "u long, v long")
 
@@ -457,13 +466,14 @@ def similar_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     links = stage(verified(pairs, texts, similarity), "links")
     comps = connected_components(links)
     if crowded.head(1):
-        rows = crowded.join(texts.select("key", *SKETCH), "key").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        lists = crowded.groupBy("key").agg(F.collect_set("bucket").alias("all")).select("key", *[F.coalesce(F.get("all", F.lit(i)), F.lit(-1)).alias(b) for i, b in enumerate(ALL)])
+        rows = crowded.join(texts.select("key", *SKETCH).join(lists, "key"), "key").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
         # lines of similar length are in one length class or in neighbouring ones; each class is a bucket, with the class below as guests
         size = F.floor(F.log(F.expr("shiftrightunsigned(s2, 48)").cast("double")) / float(-np.log(similarity)) + 1e-9)
         both = F.explode(F.array(F.struct(F.lit(0).alias("up"), F.lit(False).alias("guest")), F.struct(F.lit(1).alias("up"), F.lit(True).alias("guest"))))
         rows = rows.join(mixed, "bucket", "left_semi").select("*", both.alias("as"))
-        rows = rows.select(F.xxhash64("bucket", size + F.col("as.up")).alias("bucket"), "key", *SIGNATURE, *SKETCH, "comp", "as.guest").repartition(n, "bucket").sortWithinPartitions("bucket")
+        rows = rows.select(F.xxhash64("bucket", size + F.col("as.up")).alias("bucket"), "key", *SIGNATURE, *SKETCH, "comp", "as.guest", F.col("bucket").alias("of"), *ALL).repartition(n, "bucket").sortWithinPartitions("bucket")
         more = stage(pairs_across(rows, similarity).select(*ends).distinct().join(pairs, ["u", "v"], "left_anti"), "more")
         if more.head(1):
             links = stage(links.union(verified(more, texts, similarity)), "links")
