@@ -98,6 +98,39 @@ def test_license_gate_misses_nothing(spark):
     assert all(got.values())
 
 
+def expansion(pattern, rng):
+    """A random text that the pattern matches."""
+    from re import _constants as c
+    from re import _parser as parser
+
+    def of(items):
+        out = ""
+        for kind, x in items:
+            if kind in (c.LITERAL, c.ANY):
+                out += chr(x or ord("x"))
+            elif kind is c.IN:
+                what, y = rng.choice(x)
+                out += chr(y if what is c.LITERAL else rng.randint(*y))
+            elif kind is c.BRANCH:
+                out += of(rng.choice(x[1]))
+            elif kind is c.SUBPATTERN:
+                out += of(x[3])
+            else:
+                assert kind is c.MAX_REPEAT
+                out += "".join(of(x[2]) for _ in range(rng.randint(x[0], min(x[1], x[0] + 2))))
+        return out
+
+    return of(parser.parse(pattern))
+
+
+def test_every_keyword_stands_in_every_match():
+    rng = random.Random(3)
+    stems = license_scan.gate(license_rules.rules())
+    for label, _, keyword, pattern in license_rules.rules():
+        for text in {expansion(pattern, rng) for _ in range(60)}:
+            assert re.fullmatch(pattern, text) and keyword in text and any(x in text for x in stems), (label, text)
+
+
 # 3: sharding
 def check_shards(docs, shards):
     out = sharding.shard_by_bytes(docs, shards).collect()
@@ -232,6 +265,35 @@ def test_language_id(spark, odd, none):
     assert language_id.fit(none) == {} and language_id.predict(odd, {}).where("lang_pred <> 'und'").count() == 0
 
 
+def brute_language(text, dictionaries):
+    """Sizes of every 4096 bytes of the lower-cased letters, from compressors made for this text alone."""
+    import zstandard
+
+    data = " ".join(re.findall(r"[^\W\d_]+", text.lower())).encode() if text else b""
+    if not data:
+        return "und", 0.0
+    sizes = {}
+    for lang, content in dictionaries.items():
+        make = lambda: zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+        sizes[lang] = sum(len(make().compress(data[i : i + 4096])) for i in range(0, len(data), 4096))
+    first, second = sorted(sizes.values())[:2]
+    return (min(sizes, key=sizes.get), 1 - first / second) if first < second else (None, None)
+
+
+def test_language_equals_brute_force(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    dictionaries = language_id.fit(docs.where(~language_id.held_out()))
+    both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+    n = 0
+    for r in language_id.predict(both, dictionaries).collect():
+        lang, margin = brute_language(r["text"], dictionaries)
+        assert lang is None or (r["lang_pred"] == lang and abs(r["score"] - margin) < 1e-12)
+        n += lang is not None
+    assert n > 150
+    tied = language_id.Coders({"b": b"xyz xyz", "a": b"abc abc", "c": b"abc abc"}, 4096)
+    assert tied.predict("abc")[0] == "a" and tied.predict("q")[0] == "a"  # equal sizes: most letter triples, then the smaller name
+
+
 # 7: neighbours
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
@@ -305,6 +367,24 @@ def test_near_duplicates(spark, odd, none):
     assert near_dup.near_duplicates(none)[0].count() == 0
 
 
+def test_unrelated_texts_of_one_id_both_stay(spark):
+    a, b, c = (words(50, i) for i in (71, 72, 73))
+    docs = frame(spark, [a, b, c, a, a]).withColumn("doc_id", pytest.importorskip("pyspark.sql.functions").expr("element_at(array(1, 1, 2, 1, 3), cast(doc_id + 1 as int))"))
+    assert sorted((r["doc_id"], r["text"]) for r in near_dup.one_of_each(docs).collect()) == sorted([(1, a), (1, b), (2, c)])
+
+
+def test_frequent_shingles_are_the_same_however_rows_are_split(spark):
+    shared, half = words(40, 81), words(40, 82)
+    texts = [f"{shared} {half if i % 2 else words(40, 200 + i)} {words(60, 300 + i)}" for i in range(120)]
+    want = None
+    for parts in (1, 3, 60):  # two rows a partition at last
+        found = near_dup.stage(near_dup.bags(frame(spark, texts).repartition(parts)), "bags")
+        total, h, df = near_dup.frequent(found, 0.4)
+        assert total == 120 and len(h) == 76 and sorted(df) == [60.0] * 40 + [120.0] * 36
+        want = want or h.tolist()
+        assert h.tolist() == want
+
+
 def test_consistent_weighted_sampling_estimates_weighted_jaccard():
     rng = np.random.default_rng(2)
     sampler = near_dup.Sampler(3.0)
@@ -350,6 +430,22 @@ def test_url_model(spark):
     assert url_filter.judged(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_url_verdicts_equal_brute_force(spark):
+    rng = random.Random(12)
+    urls = [u for u, _ in url_filter.TRAINING] + [None, "", "no scheme", "http://", "http:///en/1", "x://a.com/" + "y" * 50_000]
+    urls += [f"http://{rng.choice(['free', 'www', 'casino', 'news', 'é'])}{rng.choice(['-', '.'])}{words(1, rng.random())}.{rng.choice(['com', 'net', 'org', 'de'])}/{rng.choice(['en', 'de', 'es', ''])}/{rng.randrange(90)}" for _ in range(300)]
+    urls += urls[:20]  # repeated rows
+    w, b = url_filter.model()
+    got = {r["page_id"]: r for r in url_filter.judged(spark.createDataFrame([(i, u, "h", "p") for i, u in enumerate(urls)], "page_id long, url string, host string, path string")).collect()}
+    assert len(got) == len(urls)
+    for i, url in enumerate(urls):
+        host, path = url_filter.split_url(url)
+        fits = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, verdict = max(fits)[1:] if fits else (None, "block" if url_filter.probability(host, path, w, b) > 0.5 else "allow")
+        assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, rule, verdict) and (got[i]["probability"] is None) == bool(fits)
+    assert Counter(r["verdict"] for r in got.values() if r["rule"] is None)["block"] > 50
+
+
 # 10: revisits
 def brute_canonical(url):
     m = re.match(r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?@]*@)?([^/?]*)([^?]*)(?:\?(.*))?$", re.sub("#.*$", "", (url or "").strip()))
@@ -400,3 +496,11 @@ def test_revisits(spark):
     got = {r["record_id"]: (r["url_key"], r["response_id"], r["outcome"], r["status"], r["headers"], r["payload"]) for r in warc.resolve(df, buckets=7).collect()}
     assert got == brute_resolve(records)
     assert warc.resolve(df.where("false")).count() == 0
+
+
+def test_responses_of_one_id_and_a_long_payload(spark):
+    rows = [(1, "response", "http://a.com/", d, 200, {"ETag": '"1"'}, p) for d, p in ((5, "old"), (7, "x" * 3_000_000), (6, "mid"))]
+    rows += [(i, "revisit", "http://a.com/", 100 + i, 304, {"etag": '"1"'}, None) for i in range(2, 60)]
+    df = spark.createDataFrame(rows, "record_id long, kind string, url string, date long, status int, headers map<string,string>, payload string")
+    got = warc.resolve(df).collect()
+    assert len(got) == 58 and all(r["response_id"] == 1 and len(r["payload"]) == 3_000_000 for r in got)

@@ -107,7 +107,8 @@ cc|1|creative commons|creative commons( license)?
 cc0-1.0|2|cc0|cc0( 1 0)?( universal)?( license)?
 cc0-1.0|2|creative commons|creative commons (cc0|zero)( 1 0)?( universal)?
 cc0-1.0|3|waived all|has waived all copyright and related or neighboring rights
-cc-pddc|2|public domain|(cc pddc|creative commons public domain dedication)
+cc-pddc|2|pddc|cc pddc
+cc-pddc|2|public domain|creative commons public domain dedication
 cc-by|1|cc by|cc by
 cc-by-1.0|2|cc by|cc by 1 0
 cc-by-2.0|2|cc by|cc by 2 0
@@ -203,7 +204,8 @@ php-3.01|2|php|php license( version)? 3 01
 ruby|2|ruby|ruby license
 zlib|2|zlib|zlib( libpng)? license
 zlib|3|altered source|altered source versions must be plainly marked as such
-libpng|2|libpng|(libpng|png reference library) license( version 2)?
+libpng|2|libpng|libpng license( version 2)?
+libpng|2|png reference|png reference library license( version 2)?
 libtiff|2|libtiff|libtiff license
 ijg|2|jpeg group|independent jpeg group( license)?
 bsl-1.0|2|boost|boost software license( version)?( 1 0)?
@@ -266,7 +268,7 @@ json|3|shall be used for good|the software shall be used for good not evil
 ncbi|2|ncbi|ncbi public domain notice
 nist|2|nist|nist (software|public domain)( license| notice)?
 nasa-1.3|2|nasa|nasa open source agreement( version)?( 1 3)?
-odbl-1.0|2|open database|open (data commons )?(open )?database license( version| v)?( 1 0)?
+odbl-1.0|2|database license|open (data commons )?(open )?database license( version| v)?( 1 0)?
 odc-by-1.0|2|open data commons|open data commons attribution license( version| v)?( 1 0)?
 pddl-1.0|2|public domain dedication|public domain dedication and license( version| v)?( 1 0)?
 cdla-permissive|2|community data|community data license agreement permissive( 1 0| 2 0)?
@@ -295,7 +297,8 @@ proprietary|2|unauthorized|unauthorized (copying|use|distribution|reproduction)
 all-rights-reserved|1|rights reserved|all rights reserved
 copyright-notice|1|copyright|copyright c? ?(19|20)[0-9][0-9]
 no-warranty|1|warranty|without( even the implied)? warranty( of any kind)?
-license-reference|1|licen|see (the )?(licen[cs]e|copying)( file| txt)? for (details|more|the full)
+license-reference|1|licen|see (the )?licen[cs]e( file| txt)? for (details|more|the full)
+license-reference|1|copying|see (the )?copying( file| txt)? for (details|more|the full)
 spdx|1|spdx|spdx license identifier [a-z0-9]+
 """
 

@@ -2,10 +2,11 @@
 
 Features are the n-grams (3 to 5 characters, with edge marks) of the host and of the path, each with its own prefix,
 hashed by crc32 into ``2 ** BITS`` buckets; a document's vector has unit length. The model is fitted here, once a session,
-on the small labelled table ``TRAINING`` by full-batch gradient descent, and its weights have a fixed size.
+on the small labelled table ``TRAINING`` by full-batch gradient descent, and its weights have a fixed size. It is asked only
+where no rule fits; ``probability`` is null elsewhere.
 
-Defined cases: a url that is null or has no ``://`` has empty host and path, fits no rule, and gets the model's verdict on
-no features (allow); a bare host has an empty path; repeated rows give a row each; only page_id and url are read.
+Defined cases: a url that is null or has no ``://`` has empty host and path and fits no rule; without any n-gram there is
+nothing against a url, so its probability is 0 and the verdict allow; a bare host has an empty path; repeated rows give a row each; only page_id and url are read.
 """
 
 from __future__ import annotations
@@ -96,7 +97,7 @@ def fit(table: list[tuple[str, int]], rounds: int = 400, rate: float = 4.0, pena
         b -= rate * error.mean()
     weights = np.zeros(1 << BITS)
     weights[used] = w
-    return weights, min(b, 0.0)
+    return weights, b
 
 
 @cache
@@ -106,7 +107,9 @@ def model() -> tuple[np.ndarray, float]:
 
 def probability(host: str, path: str, weights: np.ndarray, bias: float) -> float:
     f = features(host, path)
-    return float(1 / (1 + np.exp(-(weights[f].sum() / np.sqrt(max(1, len(f))) + bias))))
+    if not len(f):
+        return 0.0
+    return float(1 / (1 + np.exp(-(weights[f].sum() / np.sqrt(len(f)) + bias))))
 
 
 def host_path(url: Column | str = "url") -> tuple[Column, Column]:
@@ -125,9 +128,10 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, threshol
     weights, bias = model()
 
     @F.pandas_udf("double")
-    def chance(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([probability(h, p, weights, bias) for h, p in zip(hosts, paths)], dtype=float)
+    def chance(hosts: pd.Series, paths: pd.Series, ruled: pd.Series) -> pd.Series:
+        return pd.Series([None if r is not None else probability(h, p, weights, bias) for h, p, r in zip(hosts, paths, ruled)], dtype="Float64")
 
-    rows = rows.select("*", pick(lambda r: r[0] + r[1]).alias("rule"), pick(lambda r: r[2]).alias("ruled"), chance("host", "path").alias("probability"))
+    rows = rows.select("*", pick(lambda r: r[0] + r[1]).alias("rule"), pick(lambda r: r[2]).alias("ruled"))
+    rows = rows.withColumn("probability", chance("host", "path", "ruled"))
     verdict = F.coalesce("ruled", F.when(F.col("probability") > threshold, "block").otherwise("allow"))
     return rows.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "probability")
