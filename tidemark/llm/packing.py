@@ -4,7 +4,7 @@ Documents are tokenized once and cut: overlong ones first into full windows, wha
 only how many pieces of each length there are, at most ``window`` numbers, whatever the input: equal lengths are placed
 together, a segment tree over remaining capacities giving the tightest open windows. The placement is the one that
 item-by-item best-fit decreasing gives, as runs (length, ranks) -> (windows, offset). Pieces get their rank among equal
-lengths from counts by (length, hash bucket), so that a length of many rows is numbered by many tasks, and look their
+lengths from counts by (length, bucket), so that a length of many rows is numbered by many tasks, and look their
 run up. Two narrow exchanges; neither texts nor ids are shuffled unless ids are asked for.
 
 Defined cases: a null text is empty and packs as the closing id alone; repeated rows are packed each; an empty table
@@ -261,15 +261,16 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, window: int = WINDO
         import public_tokenizers
 
         tokenizer_path = public_tokenizers.path("word_bpe_49k.json")
-    cut = stage(pieces(docs, tokenizer_path, window, with_ids), "pieces")
-    bucket = F.pmod(F.xxhash64("doc_id", "start"), F.lit(BUCKETS)).alias("bucket")
-    counts = stage(cut.groupBy("length", bucket).agg(F.count("*").alias("n")), "piece-counts")
+    # any order within a length will do; the partition's number also parts rows that are equal in all columns
+    bucket = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.spark_partition_id()), F.lit(BUCKETS))
+    cut = stage(pieces(docs, tokenizer_path, window, with_ids).withColumn("bucket", bucket), "pieces")
+    counts = stage(cut.groupBy("length", "bucket").agg(F.count("*").alias("n")), "piece-counts")
     by_length = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     runs = np.array(sorted(best_fit_decreasing(by_length, window)), np.int64).reshape(-1, 5)
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32"))
-    ranked = cut.withColumn("bucket", bucket).withColumn("nth", nth)
+    ranked = cut.withColumn("nth", nth)
     ranked = ranked.join(offsets, ["length", "bucket"]).withColumn("rank", F.col("ahead") + F.col("nth") - 1)
     cast = docs.sparkSession.sparkContext.broadcast(runs)
 
