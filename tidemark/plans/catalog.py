@@ -155,15 +155,21 @@ def store_range(spark: SparkSession, d: str) -> DataFrame:
     return filled_store(spark, tables.event_log(spark, d), 4).range(LOW, HIGH)
 
 
-def memtable_overlay(spark: SparkSession, d: str) -> DataFrame:
-    """The live pairs of a store that holds the writes up to seq % 3 = 1 in runs, and the others only in memory."""
+def split_store(spark: SparkSession, d: str) -> tuple[Store, DataFrame]:
+    """A store with the first four fifths of the log by seq, and the writes since, which are only held."""
     log = tables.event_log(spark, d)
-    return filled_store(spark, log.where("seq % 3 <> 2"), 3).live(log.where("seq % 3 = 2"))
+    cut = log.agg(F.min("seq") + ((F.max("seq") - F.min("seq")) * 0.8).cast("long")).first()[0]
+    return filled_store(spark, log.where(F.col("seq") <= cut), 4), log.where(F.col("seq") > cut)
+
+
+def memtable_overlay(spark: SparkSession, d: str) -> DataFrame:
+    store, held = split_store(spark, d)
+    return store.live(held)
 
 
 def memtable_overlay_range(spark: SparkSession, d: str) -> DataFrame:
-    log = tables.event_log(spark, d)
-    return filled_store(spark, log.where("seq % 3 <> 2"), 3).range(LOW, HIGH, log.where("seq % 3 = 2"))
+    store, held = split_store(spark, d)
+    return store.range(LOW, HIGH, held)
 
 
 def snapshot_after_merge(spark: SparkSession, d: str) -> DataFrame:

@@ -120,8 +120,12 @@ class Store:
             self._commit(m, rest + ([merged] if merged else []), m["next_id"] + 1)
 
     def log(self, low=None, high=None, held: DataFrame | None = None) -> DataFrame | None:
-        """Rows of all runs that may hold keys in [low, high], and ``held``; runs outside are not opened. None if there are none."""
-        runs = [r for r in self.manifest()["runs"] if (low is None or r["max_key"] >= low) and (high is None or r["min_key"] <= high)]
+        """Rows of all runs that may hold keys in [low, high], and ``held``, whose writes are newer than those of runs; runs outside
+        are not opened. None if there are neither runs nor held writes."""
+        every = self.manifest()["runs"]
+        runs = [r for r in every if (low is None or r["max_key"] >= low) and (high is None or r["min_key"] <= high)]
+        if every and not runs and held is None:
+            return self.spark.read.parquet(every[0]["path"]).where("false")
         rows = [self.spark.read.parquet(r["path"]) for r in runs] + ([] if held is None else [held.select("key", "value", "tombstone", "seq")])
         return reduce(DataFrame.unionByName, rows) if rows else None
 
