@@ -119,6 +119,20 @@ def test_layout_follows_synchronous_merges(spark, n):
     assert {tuple(r) for r in got} == set(batches)
 
 
+def test_exact_fences_of_many_parts(spark):
+    rng = random.Random(21)
+    rows = [(1, r, k, rng.choice([None, 5, 10**6]), rng.random() < 0.3) for r in range(3) for k in sorted(rng.sample(range(-(10**5), 10**5), 400))]
+    df = spark.createDataFrame(rows, "level int, run long, key int, value int, tombstone boolean")
+    for block in (1, 60, 1024, 10**6):
+        want, since, at = set(), 0, None
+        for level, run, k, v, t in rows:
+            if run != at or since >= block:
+                want.add((level, run, k))
+                since, at = 0, run
+            since += len(f"{k} {'' if v is None else v} {int(t)}") + 1
+        assert {tuple(r) for r in layout.fences(df, block, buckets=9).collect()} == want
+
+
 def test_exact_fences_restart_their_sum(spark):
     keys = [(1, 0, k, 10**6, False) for k in range(1000, 1400)]
     size = len("1000 1000000 0") + 1

@@ -71,27 +71,73 @@ def listing(log: DataFrame, **layout) -> DataFrame:
     return placed(log, **layout).join(newest, "seq", "left_semi").select(F.concat_ws(":", F.col("key"), F.col("value").cast("bigint"), at).alias("line"))
 
 
+def running_bytes(rows: DataFrame, size: Column, buckets: int = 256) -> DataFrame:
+    """``rows`` plus part, the number of one of ``buckets`` equal ranges of keys, and start, the bytes before the row in its run.
+
+    Sums are taken inside a part and added up over the parts of a run, so a run of any size is worked on by many tasks.
+    """
+    span = rows.agg(F.min("key").alias("lo"), F.max("key").alias("hi")).first()
+    low, width = (span["lo"] or 0), ((span["hi"] or 0) - (span["lo"] or 0)) // buckets + 1
+    sized = rows.withColumn("_size", size).withColumn("part", F.floor((F.col("key") - low) / width))
+    inside = Window.partitionBy("level", "run", "part").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy("level", "run").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sized.groupBy("level", "run", "part").agg(F.sum("_size").alias("_n")).select("level", "run", "part", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_ahead"))
+    here = sized.withColumn("_here", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    return here.join(ahead, ["level", "run", "part"]).select(*rows.columns, "part", (F.col("_ahead") + F.col("_here")).alias("start"))
+
+
 def fence_blocks(rows: DataFrame, block: int = 1024) -> DataFrame:
     """(level, run, block_no, first_key, keys): fence pointers by running size. Approximate: a fence does not restart the sum."""
     size = F.length(F.concat_ws(" ", F.col("key").cast("string"), F.col("value").cast("bigint").cast("string"), F.col("tombstone").cast("int").cast("string"))) + 1
-    w = Window.partitionBy("level", "run").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.withColumn("block_no", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / block).cast("long"))
+    blocks = running_bytes(rows, size).withColumn("block_no", F.floor(F.col("start") / block).cast("long"))
     return blocks.groupBy("level", "run", "block_no").agg(F.min("key").alias("first_key"), F.count("*").alias("keys"))
 
 
-def fences(rows: DataFrame, block: int = 1024) -> DataFrame:
+def fences(rows: DataFrame, block: int = 1024, buckets: int = 256) -> DataFrame:
     """(level, run, key): exact fence pointers, the first key and then the next one once ``block`` bytes have passed since
-    the last. The sum restarts, which no window can say; each run is folded in order."""
+    the last. The sum restarts, which no window can say.
+
+    The first fence of a part is among its first ``block`` bytes, wherever the last one before it is. So each part finds where
+    a chain from each of those few rows ends; a fold over these rows alone, one group a run, says where each part begins; and
+    each part marks its fences from there.
+    """
     import numpy as np
     import pandas as pd
 
-    def fold(run: pd.DataFrame) -> pd.DataFrame:
-        run = run.sort_values("key")
-        sizes = [len(f"{k} {int(v) if v == v else ''} {int(t)}") + 1 for k, v, t in zip(run["key"], run["value"], run["tombstone"])]
-        keep, since = [], block
-        for n in sizes:
-            keep.append(since >= block)
-            since = n if since >= block else since + n
-        return run.loc[np.array(keep, bool), ["level", "run", "key"]]
-
-    return rows.select("level", "run", "key", "value", "tombstone").groupBy("level", "run").applyInPandas(fold, "level int, run long, key long")
+    text = F.concat(F.col("key").cast("string"), F.lit(" "), F.coalesce(F.col("value").cast("bigint").cast("string"), F.lit("")), F.lit(" "), F.col("tombstone").cast("int").cast("string"))
+    sized = running_bytes(rows.select("level", "run", "key", "value", "tombstone"), F.length(text) + 1, buckets).select("level", "run", "part", "key", "start")
+    by = ["level", "run", "part"]
+
+    def ends(part: pd.DataFrame) -> pd.DataFrame:
+        start = np.sort(part["start"].to_numpy())
+        after = np.searchsorted(start, start + block)
+        last = np.arange(len(start))
+        for i in range(len(start) - 1, -1, -1):
+            if after[i] < len(start):
+                last[i] = last[after[i]]
+        few = slice(0, int(after[0]) + 1)
+        return pd.DataFrame({**{c: part[c].iloc[0] for c in by}, "first": start[few], "last": start[last[few]]})
+
+    def begins(run: pd.DataFrame) -> pd.DataFrame:
+        due, out = 0, []
+        for part, rows_ in run.sort_values(["part", "first"]).groupby("part"):
+            fits = np.flatnonzero(rows_["first"].to_numpy() >= due)
+            if len(fits):
+                out.append((part, rows_["first"].iloc[fits[0]]))
+                due = rows_["last"].iloc[fits[0]] + block
+        return pd.DataFrame({**{c: run[c].iloc[0] for c in by[:2]}, "part": [p for p, _ in out], "begin": [b for _, b in out]})
+
+    def marked(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("start")
+        start = part["start"].to_numpy()
+        after, keep = np.searchsorted(start, start + block), []
+        i = int(np.searchsorted(start, part["begin"].iloc[0]))
+        while i < len(start):
+            keep.append(i)
+            i = int(after[i])
+        return part.iloc[keep][["level", "run", "key"]]
+
+    kinds = "level int, run long, part long"
+    few = sized.groupBy(*by).applyInPandas(ends, f"{kinds}, first long, last long")
+    starts = few.groupBy("level", "run").applyInPandas(begins, f"{kinds}, begin long")
+    return sized.join(starts, by).groupBy(*by).applyInPandas(marked, "level int, run long, key long")
