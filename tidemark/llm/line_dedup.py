@@ -6,14 +6,14 @@ of fewer than four words has no fuzzy partner, since not even one edit is allowe
 
 An edit breaks at most three of a line's blocks of three words, so lines that are d edits apart and of which the longer one
 has m words share m - 2 - 3d blocks at least (five words also have the block of all but the middle one, four that of all).
-Each line is dealt to its ``BLOCKS`` smallest block hashes. That is a prefix filter: it misses no pair of which the longer line has
-fewer than 15 words, and of longer ones it misses a pair only if none of the shared blocks is among them, which for half of
-all blocks shared is one in a few thousand. SimHashes over pigeonhole blocks of *bits* cannot do it: at similarity 0.8
+Each line is dealt to its ``BLOCKS`` smallest block hashes. That is a prefix filter: it misses no pair of which the longer
+line has fewer than 15 words, and of longer ones it misses a pair only if none of the shared blocks is among them, which for
+half of all blocks shared is one in a few thousand. SimHashes over pigeonhole blocks of *bits* cannot do it: at similarity 0.8
 they are 13 of 64 bits apart, so that blocks wide enough to tell lines apart are hardly ever equal.
 
 In a bucket, pairs whose 64-bit SimHashes are more than ``RADIUS`` bits apart go, and those that a parity sketch proves too
-far apart; the rest are verified by edit similarity over words (31 bits of their hashes). Groups are the connected components of verified links; the
-occurrence with the smallest (doc_id, line) stays.
+far apart; the rest are verified by edit similarity over words (31 bits of their hashes). Groups are the connected
+components of verified links; the occurrence with the smallest (doc_id, line) stays.
 
 In a bucket with very many lines or pairs, lines are first held against a few central ones; only what is in different
 components after that is compared further, by length class. So thousands of variants of one line cost a star, and no link
@@ -476,8 +476,9 @@ def similar_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
         rows = rows.select(F.xxhash64("bucket", size + F.col("as.up")).alias("bucket"), "key", *SIGNATURE, *SKETCH, "comp", "as.guest", F.col("bucket").alias("of"), *ALL).repartition(n, "bucket").sortWithinPartitions("bucket")
         more = stage(pairs_across(rows, similarity).select(*ends).distinct().join(pairs, ["u", "v"], "left_anti"), "more")
         if more.head(1):
-            links = stage(links.union(verified(more, texts, similarity)), "links")
-            comps = connected_components(links)
+            # what is known to be connected is a star by now
+            links = stage(verified(more, texts, similarity), "links")
+            comps = connected_components(links.union(comps.select(F.col("node").alias("u"), F.col("comp").alias("v"))))
     return drops_of(seen, lines, comps)
 
 

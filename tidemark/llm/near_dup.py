@@ -360,8 +360,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, min_rate: float = 0
         first = F.expr("forall(zip_with(slice(a_bands, 1, a_i), slice(b_bands, 1, a_i), (x, y) -> x <> y), t -> t)")  # a pair comes from the first band it shares
         more = side(rest, "a").join(side(rest, "b"), "bucket").where(ordered & (F.col("a_comp") != F.col("b_comp")) & enough & near & first)
         more = more.select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-        links = stage(links.union(verified(stage(more, "more"), held, weights, threshold)), "links")
-        comps = connected_components(links)
+        new = stage(verified(stage(more, "more"), held, weights, threshold), "links")
+        # what is known to be connected is a star by now
+        comps = connected_components(new.select("u", "v").union(comps.select(F.col("node").alias("u"), F.col("comp").alias("v"))))
+        links = links.union(new)
 
     of = nodes.select("node", "rep").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = stage(of.join(of.groupBy("comp").agg(F.min("rep").alias("best")), "comp").select("node", "best"), "named")
