@@ -432,7 +432,7 @@ def block_pairs(rows: DataFrame, similarity: float) -> DataFrame:
 def pairs_across(rows: DataFrame, similarity: float) -> DataFrame:
     """(u, v): pairs that may be near of lines (bucket, key, s0 to s2, t0 to t3, comp, guest, of, b0 ...) in one bucket and in
     different components; two guests are no pair. ``of`` is the block that the bucket is part of and b0 ... are all blocks of
-    the line that are crowded: a pair comes from the smallest that both have."""
+    the line that are crowded and mixed: a pair comes from the smallest that both have."""
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for run in whole_runs(batches):
@@ -466,13 +466,14 @@ def similar_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     links = stage(verified(pairs, texts, similarity), "links")
     comps = connected_components(links)
     if crowded.head(1):
-        lists = crowded.groupBy("key").agg(F.collect_set("bucket").alias("all")).select("key", *[F.coalesce(F.get("all", F.lit(i)), F.lit(-1)).alias(b) for i, b in enumerate(ALL)])
-        rows = crowded.join(texts.select("key", *SKETCH).join(lists, "key"), "key").join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        rows = crowded.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         mixed = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        rows = stage(rows.join(mixed, "bucket", "left_semi"), "mixed")
+        lists = rows.groupBy("key").agg(F.collect_set("bucket").alias("all")).select("key", *[F.coalesce(F.get("all", F.lit(i)), F.lit(-1)).alias(b) for i, b in enumerate(ALL)])
         # lines of similar length are in one length class or in neighbouring ones; each class is a bucket, with the class below as guests
         size = F.floor(F.log(F.expr("shiftrightunsigned(s2, 48)").cast("double")) / float(-np.log(similarity)) + 1e-9)
         both = F.explode(F.array(F.struct(F.lit(0).alias("up"), F.lit(False).alias("guest")), F.struct(F.lit(1).alias("up"), F.lit(True).alias("guest"))))
-        rows = rows.join(mixed, "bucket", "left_semi").select("*", both.alias("as"))
+        rows = rows.join(texts.select("key", *SKETCH).join(lists, "key"), "key").select("*", both.alias("as"))
         rows = rows.select(F.xxhash64("bucket", size + F.col("as.up")).alias("bucket"), "key", *SIGNATURE, *SKETCH, "comp", "as.guest", F.col("bucket").alias("of"), *ALL).repartition(n, "bucket").sortWithinPartitions("bucket")
         more = stage(pairs_across(rows, similarity).select(*ends).distinct().join(pairs, ["u", "v"], "left_anti"), "more")
         if more.head(1):
