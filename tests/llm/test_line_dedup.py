@@ -35,6 +35,23 @@ def test_similar_lines_equal_edit_similarity_alone(spark, odd, none, monkeypatch
     assert line_dedup.similar_lines(none).count() == 0
 
 
+def test_blocks_are_dealt_by_segment_and_none_is_lost(spark, monkeypatch):
+    docs = frame(spark, ["\n".join(words(4 + (i + j) % 30, 100 * i + j) for j in range(20)) for i in range(40)]).repartition(2)
+    table = line_dedup.stage(line_dedup.line_table(docs, 16), "lines")
+    dealt = table.where("segment is not null").select("segment", "rows").toArrow().sort_by("segment")
+    assert table.where("segment is null").count() == 800 and 16 <= dealt.num_rows <= 2 * 16  # a row a task and segment, not one a block
+    want = []
+    for r in docs.collect():
+        hashes, of_word, _ = Splitter()([r["text"]])
+        blocks, of = line_dedup.blocks_of(hashes, np.bincount(of_word))
+        want += zip(blocks.tolist(), of.tolist())
+    for held in (line_dedup.HELD, 50):
+        monkeypatch.setattr(line_dedup, "HELD", held)
+        got = [b["bucket"].to_pylist() for b in line_dedup.unpacked(iter(dealt.to_batches()))]
+        assert sorted(sum(got, [])) == sorted(b for b, _ in want) and all(b == sorted(b) for b in got)
+        assert (len(got) > 1) == (held == 50) and len({x for b in got for x in set(b)}) == sum(len(set(b)) for b in got)  # whole buckets
+
+
 def test_short_lines_and_scripts_without_blanks(spark):
     han, thai = "版权所有未经许可不得转载本网站内容", "สงวนลิขสิทธิ์ทุกประการ"
     texts = ["All rights reserved\n!!\nOf.", f"all rights reserved.\n!!\n\n{han}\nall rights", f"{han[:-1]}物\nof\n{thai}\n版权", f"{thai}\nall rights deserved\n版权"]

@@ -26,19 +26,22 @@ table gives an empty result; other columns are carried. Documents that lose ever
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_words, by_value, connected_components, in_bloom, map_arrow, slices, stage
+from .common import BLOOM_BITS, bloom_words, by_value, connected_components, in_bloom, map_arrow, slices, stage
 from .words import Splitter, chunked, runs_of
 
 by_value(__name__)
 
 BLOCK, BLOCKS, RADIUS, PARITY_BITS = 3, 8, 26, 112
 FEW, MANY, HUBS, ALL_PAIRS, MOST, LONG = 8, 3, 8, 1024, 65535, 600
+#: Segments that blocks are dealt to, at least, and how many rows a task puts together for that.
+SEGMENTS, HELD = 1024, 500_000
 SIGNATURE = ["s0", "s1", "s2"]
 #: A larger parity sketch, for lines of crowded buckets only.
 SKETCH = ["t0", "t1", "t2", "t3"]
@@ -130,13 +133,52 @@ def may_be_near(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
     return (np.bitwise_count(x[:, 0]) <= RADIUS) & ((most == MOST) | (apart <= top) & (np.maximum(bits, more) <= 2 * top - apart))
 
 
-def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, key, blocks, s0, s1, s2) of every line with a word, in one pass over the texts; ``blocks`` is empty for
-    lines of fewer than FUZZY words and, mostly, for lines that the task has met before."""
+def packed(rows: np.ndarray, segments: int) -> tuple[pa.Array, pa.Array]:
+    """(segment, bytes): rows of int64, of which the first says the segment, put together by segment."""
+    of = rows[:, 0] % segments
+    order = np.argsort(of, kind="stable")
+    of = of[order]
+    starts = np.flatnonzero(np.diff(of, prepend=-1))
+    ends = (np.append(starts, len(of)) * rows.shape[1] * 8).astype(np.int32)
+    return pa.array(of[starts]), pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(rows[order])])
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, key, s0, s1, s2) of whole segments, by bucket, from (segment, rows) by segment."""
+    held: list[np.ndarray] = []
+    last, many = None, 0
+
+    def ordered() -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        return pa.record_batch([pa.array(c) for c in rows[np.argsort(rows[:, 0], kind="stable")].T.copy()], ["bucket", "key", *SIGNATURE])
+
+    for batch in batches:
+        for segment, rows in zip(batch["segment"].to_pylist(), batch["rows"]):
+            if segment != last and many > HELD:
+                yield ordered()
+                held.clear()
+                many = 0
+            held.append(np.frombuffer(rows.as_buffer(), np.int64).reshape(-1, 2 + len(SIGNATURE)).copy())
+            last, many = segment, many + len(held[-1])
+    if held:
+        yield ordered()
+
+
+def line_table(docs: DataFrame, segments: int) -> DataFrame:
+    """(doc_id, line, key, null, null) of every line with a word, and (null, null, null, segment, rows) of their blocks, in one
+    pass over the texts. ``rows`` are (block, key, s0, s1, s2) as bytes, those of one segment together; lines of fewer than
+    FUZZY words have none and, mostly, lines that the task has met before."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter()
         seen: set[int] = set()
+        held: list[np.ndarray] = []
+        names = ["doc_id", "line", "key", "segment", "rows"]
+
+        def dealt() -> pa.RecordBatch:
+            segment, rows = packed(np.concatenate(held), segments)
+            return pa.record_batch([*(pa.nulls(len(segment), pa.int64()) for _ in range(3)), segment, rows], names)
+
         for batch in slices(batches):
             texts = batch["text"].to_pylist()
             for part in chunked(texts):
@@ -154,17 +196,20 @@ def line_table(docs: DataFrame) -> DataFrame:
                         new[i] = True
                 if len(seen) > 200_000:
                     seen.clear()
-                many, signs, blocks = np.zeros(len(n) + 1, np.int32), np.zeros((len(n), 3), np.int64), np.zeros(0, np.int64)
                 if new.any():
                     some = hashes[np.repeat(new, n)]
                     blocks, of = blocks_of(some, n[new])
-                    many[1:][new] = np.bincount(of, minlength=int(new.sum()))
-                    signs[new] = signatures(some, n[new])
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(many, dtype=np.int32)), pa.array(blocks))
-                yield pa.record_batch([batch["doc_id"].slice(part.start, part.stop - part.start).take(pa.array(doc)), pa.array(line - firsts[doc]), pa.array(keys), lists, *(pa.array(c) for c in signs.T)], ["doc_id", "line", "key", "blocks", *SIGNATURE])
+                    held.append(np.concatenate([blocks[:, None], keys[new][of, None], signatures(some, n[new])[of]], axis=1))
+                ids = batch["doc_id"].slice(part.start, part.stop - part.start).take(pa.array(doc))
+                yield pa.record_batch([ids, pa.array(line - firsts[doc]), pa.array(keys), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary())], names)
+                if sum(map(len, held)) > HELD:
+                    yield dealt()
+                    held.clear()
+        if held:
+            yield dealt()
 
     rows = texts_with_id(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_arrow(rows, found, "doc_id long, line long, key long, blocks array<long>, s0 long, s1 long, s2 long")
+    return map_arrow(rows, found, "doc_id long, line long, key long, segment long, rows binary")
 
 
 def texts_with_id(docs: DataFrame) -> DataFrame:
@@ -358,17 +403,22 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def texts_of(docs: DataFrame, keys: DataFrame, lines: DataFrame) -> DataFrame:
-    """(key, words, t0, t1, t2, t3) of the lines in ``keys``, read again from the documents in which they are first: 31 bits of each word's
-    hash. Only those documents are split again, and only those lines leave them."""
-    wanted = stage(lines.join(keys, "key", "left_semi").select("key", F.xxhash64("first.doc_id").alias("doc")), "wanted")
-    cast = docs.sparkSession.sparkContext.broadcast((bloom_words(wanted, "doc"), bloom_words(wanted, "key")))
+    """(key, words, t0, t1, t2, t3) of the lines in ``keys``, read again where they are first: 31 bits of each word's hash. Only
+    the lines at those places are split again."""
+    place = F.xxhash64("first.doc_id").bitwiseXOR(F.col("first.line")).bitwiseXOR(F.shiftleft("first.line", BLOOM_BITS))
+    wanted = stage(lines.join(keys, "key", "left_semi").select("key", place.alias("place")), "wanted")
+    cast = docs.sparkSession.sparkContext.broadcast((bloom_words(wanted, "place"), bloom_words(wanted, "key")))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_doc, by_key = cast.value
+        by_place, by_key = cast.value
         split = Splitter()
         seen: set[int] = set()
         for batch in slices(batches):
-            texts = batch["text"].filter(pa.array(in_bloom(by_doc, batch["doc"].to_numpy()))).to_pylist()
+            cut = [t.split("\n") for t in batch["text"].to_pylist()]
+            many = np.array([len(c) for c in cut], np.int64)
+            line = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            at = in_bloom(by_place, np.repeat(batch["doc"].to_numpy(), many) ^ line ^ (line << BLOOM_BITS))
+            texts = list(compress(chain.from_iterable(cut), at.tolist()))
             for part in chunked(texts):
                 hashes, of_word, _ = split(texts[part])
                 begin, n = runs_of(of_word)
@@ -401,11 +451,12 @@ def drops_of(seen: DataFrame, lines: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def block_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, u, v, s1, s2, mark): pairs of lines with a common block that may be near; for each line of a bucket that has
-    very many lines or pairs, (bucket, key, s0, s1, s2, true) and only the pairs with central lines."""
+    """(bucket, u, v, s1, s2, mark) from (segment, rows) by segment: pairs of lines with a common block that may be near; for
+    each line of a bucket that has very many lines or pairs, (bucket, key, s0, s1, s2, true) and only the pairs with central
+    lines."""
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, s, key in ((run["bucket"], run["s"], run["key"]) for run in whole_runs(batches)):
+        for bucket, s, key in ((run["bucket"], run["s"], run["key"]) for run in whole_runs(unpacked(batches))):
             if not len(bucket):
                 continue
             starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
@@ -452,11 +503,11 @@ def pairs_across(rows: DataFrame, similarity: float) -> DataFrame:
 
 def similar_lines(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, line, kept_doc_id, kept_line, exact): every line occurrence to drop, and the occurrence that stays for it."""
-    table = stage(line_table(docs), "lines")
-    seen = table.select("doc_id", "line", "key")
-    lines = stage(seen.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "keys")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = table.select(F.explode("blocks").alias("bucket"), "key", *SIGNATURE).repartition(n, "bucket").sortWithinPartitions("bucket")
+    table = stage(line_table(docs, n * -(-SEGMENTS // n)), "lines")
+    seen = table.where("segment is null").select("doc_id", "line", "key")
+    lines = stage(seen.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")), "keys")
+    dealt = table.where("segment is not null").select("segment", "rows").repartitionById(n, (F.col("segment") % n).cast("int")).sortWithinPartitions("segment")
     found = stage(block_pairs(dealt, similarity), "found")
     ends = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
     pairs = stage(found.where("not mark").select(*ends).distinct(), "pairs")
