@@ -224,6 +224,15 @@ def test_encoder_equals_the_tokenizer(monkeypatch):
             assert np.array_equal(got, coder.whole(text)), repr(text)
 
 
+def test_words_are_written_by_their_bytes():
+    from tokenizers import pre_tokenizers
+
+    level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    for text in ("plain", "".join(map(chr, range(33, 0x800))), "é\u0160\u0301\u05d0\u0e01\u2014", "\u3000\U0001f600"):
+        assert packing.by_bytes(text) == level.pre_tokenize_str(text)[0][0]
+    assert packing.by_bytes("\u00e9 a") == "\u00c3\u00a9 a"  # blanks part words
+
+
 def test_packing(spark, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer

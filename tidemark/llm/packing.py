@@ -14,7 +14,6 @@ tokenizer's own encoding as a whole, as do texts with control characters or capi
 
 from __future__ import annotations
 
-import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -35,6 +34,15 @@ SPACE, LETTER, NUMBER, OTHER, ODD = range(5)
 LIMIT, MOST_LETTERS = 0x3000, 1000
 
 
+#: The letters that a byte-level tokenizer writes for bytes: printable ones as they are, others from 256 on. Blanks stay.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in SHOWN) if b != 32}
+
+
+def by_bytes(text: str) -> str:
+    return text if text.isascii() else text.encode().decode("latin-1").translate(LETTERS)
+
+
 class Encoder:
     """Token ids of whole texts as little-endian uint32 arrays, remembered by word.
 
@@ -46,13 +54,12 @@ class Encoder:
     """
 
     def __init__(self, definition: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(definition)
-        # the same merges for words that are cut and normalised already
-        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        bare = json.loads(definition) | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, level]}}
-        self.bare = Tokenizer.from_str(json.dumps(bare))
+        # the same merges for words that are cut, normalised and written by their bytes already
+        self.bare = Tokenizer.from_str(definition)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.young: dict[int, bytes] = {}
@@ -101,38 +108,41 @@ class Encoder:
         if odd.any():
             kind = np.where(np.repeat(odd, n + 1), SPACE, kind)
             begin, end = self.words(code, kind)
-        ids, ends = self.ids_of(joined, code, begin, end)
+        ids, ends = self.ids_of(joined, code, kind, begin, end)
         cuts = np.searchsorted(begin, starts)
         firsts = np.concatenate([[0], ends])[cuts]
         lasts = np.concatenate([firsts[1:], [len(ids)]])
         return [self.whole(t) if p is None or o else ids[a:b] for t, p, o, a, b in zip(texts, plain, odd, firsts, lasts)]
 
-    def ids_of(self, joined: str, code: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ids_of(self, joined: str, code: np.ndarray, kind: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and where each word's ids end."""
         if not len(begin):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         n = end - begin
-        at = np.repeat(np.cumsum(n) - n, n)
-        of = np.arange(int(n.sum())) - at
-        hashes = np.add.reduceat(self.mix[code[np.repeat(begin, n) + of]] * self.place[of], np.cumsum(n) - n)
+        starts = np.cumsum(n) - n
+        of = np.arange(int(n.sum()), dtype=np.int32) - np.repeat(starts.astype(np.int32), n)
+        # words hold all that is not space
+        mixed = self.mix[code[kind != SPACE]]
+        mixed *= self.place[of]
+        hashes = np.add.reduceat(mixed, starts)
         keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.young) > CACHE_WORDS:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         known = keys.tolist()
-        new = [i for i, k in enumerate(known) if k not in young]
-        for i in [i for i in new if known[i] in old]:
-            young[known[i]] = old[known[i]]
-        if new := [i for i in new if known[i] not in young]:
+        parts = list(map(young.get, known))
+        for i in [i for i, p in enumerate(parts) if p is None] if old else ():
+            if (got := old.get(known[i])) is not None:
+                young[known[i]] = parts[i] = got
+        if new := [i for i, p in enumerate(parts) if p is None]:
             words = [joined[a:b] for a, b in zip(begin[where[new]].tolist(), end[where[new]].tolist())]
-            ids = np.array(self.bare.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.bare.encode_batch_fast([by_bytes(" ".join(words))], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
             if len(ends) != len(words):
                 raise AssertionError("a word has no end")
             data = ids.tobytes()
             for i, x, y in zip(new, [0, *ends], ends):
-                young[known[i]] = data[x:y]
-        parts = list(map(young.__getitem__, known))
+                young[known[i]] = parts[i] = data[x:y]
         many = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat = np.frombuffer(b"".join(parts), "<u4")
         each = many[inverse]
@@ -140,7 +150,7 @@ class Encoder:
         return flat[np.arange(ends[-1]) + np.repeat((np.cumsum(many) - many)[inverse] - (ends - each), each)], ends
 
 
-def chunks(ids: list, texts: list, letters: int = 400_000) -> Iterator[tuple[list, list[str]]]:
+def chunks(ids: list, texts: list, letters: int = 800_000) -> Iterator[tuple[list, list[str]]]:
     """Rows with some ``letters`` characters together; a longer text is alone."""
     start, held = 0, 0
     for i, t in enumerate(texts):
