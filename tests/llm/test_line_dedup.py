@@ -52,6 +52,38 @@ def test_blocks_are_dealt_by_segment_and_none_is_lost(spark, monkeypatch):
         assert (len(got) > 1) == (held == 50) and len({x for b in got for x in set(b)}) == sum(len(set(b)) for b in got)  # whole buckets
 
 
+def test_only_shared_blocks_are_sorted(monkeypatch):
+    rng = np.random.default_rng(2)
+    bucket = np.sort(np.concatenate([rng.choice(1 << 40, 5000, replace=False), np.repeat([7, 1 << 39, 1 << 41], [2, 40, 3])]))
+    key = rng.integers(0, 30, len(bucket))
+    cols = [bucket, key, *rng.integers(0, 1 << 62, (3, 30))[:, key]]  # equal lines have equal signatures
+    want = {(b, k) for b, k in zip(bucket.tolist(), cols[1].tolist()) if b in (7, 1 << 39, 1 << 41)}
+    want = {x for x in want if len({k for b, k in want if b == x[0]}) > 1}
+    sizes, lexsort = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sizes.append(len(keys[0])) or lexsort(keys))
+    for rows in (50, 1000, len(bucket)):  # batches end anywhere, also inside a bucket
+        sizes.clear()
+        batches = pa.table([pa.array(c) for c in cols], ["bucket", "key", *line_dedup.SIGNATURE]).to_batches(rows)
+        got = [x for run in line_dedup.whole_runs(iter(batches)) for x in zip(run["bucket"].tolist(), run["key"].tolist())]
+        assert set(got) == want and len(got) == len(want)
+        assert sum(sizes) <= 45 + 2 * len(batches)  # all but the first and last row of a batch, if alone
+
+
+def test_words_travel_as_bytes_and_single_lines_join_no_group(spark, monkeypatch):
+    n = np.array([0, 3, 1, 0, 4])
+    packed, want = line_dedup.as_bytes(np.arange(8, dtype=np.int32) - 2, n), [[], [-2, -1, 0], [1], [], [2, 3, 4, 5]]
+    assert line_dedup.as_lists(packed).to_pylist() == want and line_dedup.as_lists(packed.slice(1, 3)).to_pylist() == want[1:4]
+    assert line_dedup.as_lists(packed.slice(5)).to_pylist() == [] and line_dedup.as_lists(packed.slice(3, 1)).to_pylist() == [[]]
+    staged, stage = {}, line_dedup.stage
+    monkeypatch.setattr(line_dedup, "stage", lambda df, tag: staged.setdefault(tag, stage(df, tag)))
+    near = words(20, 1)
+    texts = [f"{near}\n{words(20, 2)}\n{words(20, 3)}", f"{near} more\nall rights", f"All Rights\n{words(9, 4)}"]
+    drops = line_dedup.similar_lines(frame(spark, texts)).collect()
+    assert sorted(tuple(r) for r in drops) == [(1, 0, 0, 0, False), (2, 0, 1, 1, True)]
+    assert dict(staged["texts"].dtypes)["words"] == "binary" and staged["texts"].count() == 2
+    assert staged["keys"].count() == 6 and staged["grouped"].count() == 3  # the two near lines and the repeated one
+
+
 def test_short_lines_and_scripts_without_blanks(spark):
     han, thai = "版权所有未经许可不得转载本网站内容", "สงวนลิขสิทธิ์ทุกประการ"
     texts = ["All rights reserved\n!!\nOf.", f"all rights reserved.\n!!\n\n{han}\nall rights", f"{han[:-1]}物\nof\n{thai}\n版权", f"{thai}\nall rights deserved\n版权"]

@@ -60,12 +60,20 @@ def simhashes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     n = np.diff(starts, append=len(hashes))
     most = int(n.max())
     # lanes hold up to 255, so longer segments are added up in parts
-    cuts = np.concatenate([np.arange(s, s + m, 255) for s, m in zip(starts, n)]) if most > 255 else starts
+    many = -(-n // 255)
+    at = np.cumsum(many) - many
+    cuts = np.repeat(starts - 255 * at, many) + 255 * np.arange(int(many.sum())) if most > 255 else starts
     parts = np.add.reduceat(LANES[hashes.view(np.uint8).reshape(-1, 8)], cuts, axis=0).view(np.uint8).reshape(len(cuts), 64)
-    ones = np.add.reduceat(parts, np.searchsorted(cuts, starts), axis=0, dtype=np.int32) if most > 255 else parts.astype(np.int32)
+    ones = np.add.reduceat(parts, at, axis=0, dtype=np.int32) if most > 255 else parts.astype(np.int32)
     return np.packbits(2 * ones > n[:, None], axis=1).view(np.int64).ravel()
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values, sorted; faster than np.unique, which hashes them first."""
+    values = np.sort(values)
+    return values[np.flatnonzero(np.diff(values, prepend=~values[:1]))]
+
+
 def blocks_of(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(block, line), by line: the smallest hashes of each line's blocks, BLOCKS of them at most, as 44 bits (2 ** 20 lines at
     most)."""
@@ -86,13 +94,14 @@ def blocks_of(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray
     # long lines sort the blocks below a bound only, unless that leaves too few
     bound = (2.5 * BLOCKS / np.maximum(n - BLOCK + 1, 2.5 * BLOCKS) * (1 << 44)).astype(np.uint64)
     low = inside & (block <= np.repeat(bound, n)[: -BLOCK + 1])
-    code = np.unique(np.concatenate([of[low] << np.uint64(44) | block[low], *whole]))
+    code = distinct(np.concatenate([of[low] << np.uint64(44) | block[low], *whole]))
     few = np.bincount((code >> np.uint64(44)).astype(np.int64), minlength=len(n)) < BLOCKS
     rest = inside & ~low & np.repeat(few, n)[: -BLOCK + 1]
     if rest.any():
-        code = np.sort(np.concatenate([code, np.unique(of[rest] << np.uint64(44) | block[rest])]), kind="stable")
+        code = np.sort(np.concatenate([code, distinct(of[rest] << np.uint64(44) | block[rest])]), kind="stable")
     of = (code >> np.uint64(44)).astype(np.int64)
-    first = np.arange(len(of)) - np.searchsorted(of, of) < BLOCKS
+    many = np.bincount(of, minlength=len(n))
+    first = np.arange(len(of)) - (np.cumsum(many) - many)[of] < BLOCKS
     return (code[first] & np.uint64((1 << 44) - 1)).astype(np.int64), of[first]
 
 
@@ -136,7 +145,7 @@ def may_be_near(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
 def packed(rows: np.ndarray, segments: int) -> tuple[pa.Array, pa.Array]:
     """(segment, bytes): rows of int64, of which the first says the segment, put together by segment."""
     of = rows[:, 0] % segments
-    order = np.argsort(of, kind="stable")
+    order = np.argsort(of.astype(np.uint16) if segments <= 1 << 16 else of, kind="stable")  # 16 bits are sorted by radix
     of = of[order]
     starts = np.flatnonzero(np.diff(of, prepend=-1))
     ends = (np.append(starts, len(of)) * rows.shape[1] * 8).astype(np.int32)
@@ -150,7 +159,7 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def ordered() -> pa.RecordBatch:
         rows = np.concatenate(held)
-        return pa.record_batch([pa.array(c) for c in rows[np.argsort(rows[:, 0], kind="stable")].T.copy()], ["bucket", "key", *SIGNATURE])
+        return pa.record_batch([pa.array(c) for c in rows[np.argsort(rows[:, 0].copy())].T.copy()], ["bucket", "key", *SIGNATURE])
 
     for batch in batches:
         for segment, rows in zip(batch["segment"].to_pylist(), batch["rows"]):
@@ -190,8 +199,9 @@ def line_table(docs: DataFrame, segments: int) -> DataFrame:
                 doc = np.searchsorted(firsts, line, "right") - 1
                 keys = split.sequences(hashes, begin, n)
                 new = np.zeros(len(n), bool)
-                for i, key in enumerate(keys.tolist()):
-                    if n[i] >= FUZZY and key not in seen:
+                fuzzy = np.flatnonzero(n >= FUZZY)
+                for i, key in zip(fuzzy.tolist(), keys[fuzzy].tolist()):
+                    if key not in seen:
                         seen.add(key)
                         new[i] = True
                 if len(seen) > 200_000:
@@ -234,6 +244,11 @@ def whole_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarr
         if not batch.num_rows:
             continue
         cols = {c: batch[c].to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        # most buckets have one row: inside a batch, those go before anything is sorted
+        bucket = cols["bucket"]
+        other = bucket[1:] != bucket[:-1]
+        shared = ~(np.concatenate([[False], other]) & np.concatenate([other, [False]]))
+        cols = {c: x[shared] for c, x in cols.items()}
         part = {"s": np.stack([cols[c] for c in SIGNATURE + SKETCH if c in cols], axis=1)} | {c: x for c, x in cols.items() if c not in SIGNATURE + SKETCH}
         # the rows of the last bucket wait for the next batch
         bucket = part["bucket"]
@@ -391,10 +406,24 @@ def similar_pairs(x: pa.Array, y: pa.Array, similarity: float) -> np.ndarray:
     return out
 
 
+def as_bytes(words: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The runs of n int32, one after another, as bytes: Spark and Parquet take a list one number at a time, bytes at once."""
+    ends = np.concatenate([[0], 4 * np.cumsum(n)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), pa.py_buffer(words)])
+
+
+def as_lists(words: pa.Array) -> pa.Array:
+    """What :func:`as_bytes` was given, as lists of int32."""
+    _, ends, values = words.buffers()
+    ends = np.frombuffer(ends, np.int32, len(words) + 1, 4 * words.offset) // 4 if len(words) else np.zeros(1, np.int32)
+    values = np.frombuffer(values, np.int32, ends[-1] - ends[0], 4 * int(ends[0])) if ends[-1] > ends[0] else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends - ends[0]), pa.array(values))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
-            keep = pa.array(similar_pairs(batch["x"], batch["y"], similarity))
+            keep = pa.array(similar_pairs(as_lists(batch["x"]), as_lists(batch["y"]), similarity))
             yield pa.record_batch([batch["u"].filter(keep), batch["v"].filter(keep)], ["u", "v"])
 
     first = pairs.join(texts.select(F.col("key").alias("v"), F.col("words").alias("y")), "v")
@@ -403,8 +432,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 
 def texts_of(docs: DataFrame, keys: DataFrame, lines: DataFrame) -> DataFrame:
-    """(key, words, t0, t1, t2, t3) of the lines in ``keys``, read again where they are first: 31 bits of each word's hash. Only
-    the lines at those places are split again."""
+    """(key, words, t0, t1, t2, t3) of the lines in ``keys``, read again where they are first: 31 bits of each word's hash,
+    as bytes. Only the lines at those places are split again."""
     place = F.xxhash64("first.doc_id").bitwiseXOR(F.col("first.line")).bitwiseXOR(F.shiftleft("first.line", BLOOM_BITS))
     wanted = stage(lines.join(keys, "key", "left_semi").select("key", place.alias("place")), "wanted")
     cast = docs.sparkSession.sparkContext.broadcast((bloom_words(wanted, "place"), bloom_words(wanted, "key")))
@@ -430,19 +459,20 @@ def texts_of(docs: DataFrame, keys: DataFrame, lines: DataFrame) -> DataFrame:
                 if len(seen) > 200_000:
                     seen.clear()
                 if new.any():
-                    ends = np.concatenate([[0], np.cumsum(n[new])]).astype(np.int32)
                     some = hashes[np.repeat(new, n)]
-                    words = pa.ListArray.from_arrays(pa.array(ends), pa.array((some >> np.uint64(33)).astype(np.int32)))
+                    words = as_bytes((some >> np.uint64(33)).astype(np.int32), n[new])
                     yield pa.record_batch([pa.array(keys[new]), words, *(pa.array(c) for c in parity(some >> np.uint64(40), n[new], 256, 256).T)], ["key", "words", *SKETCH])
 
     rows = texts_with_id(docs).select(F.xxhash64(F.col("doc_id").cast("long")).alias("doc"), "text")
-    return map_arrow(rows, found, "key long, words array<int>, t0 long, t1 long, t2 long, t3 long").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return map_arrow(rows, found, "key long, words binary, t0 long, t1 long, t2 long, t3 long").join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"])
 
 
 def drops_of(seen: DataFrame, lines: DataFrame, comps: DataFrame) -> DataFrame:
-    grouped = lines.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-    groups = grouped.groupBy("comp").agg(F.min("first").alias("kept"), F.sum("n").alias("total")).where("total > 1")
-    named = stage(grouped.join(groups, "comp").select("key", "kept", (F.col("first") == F.col("kept")).alias("exact")), "named")
+    # a line that stands once and has no link is a group of its own, of which nothing goes
+    repeated = lines.join(comps.withColumnRenamed("node", "key"), "key", "left").where("n > 1 or comp is not null")
+    grouped = stage(repeated.select("key", "first", F.coalesce("comp", "key").alias("comp")), "grouped")
+    groups = grouped.groupBy("comp").agg(F.min("first").alias("kept"))
+    named = grouped.join(groups, "comp").select("key", "kept", (F.col("first") == F.col("kept")).alias("exact"))
     return (
         seen.join(named, "key")
         .where(~((F.col("doc_id") == F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line"))))
