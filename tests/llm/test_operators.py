@@ -2,8 +2,11 @@
 
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -224,6 +227,51 @@ def test_encoder_equals_the_tokenizer(monkeypatch):
             assert np.array_equal(got, coder.whole(text)), repr(text)
 
 
+#: Encoders one after the other, as a worker makes them task by task: KB held by one, KB that eight leave behind.
+HELD = """
+import ctypes, re, sys, tracemalloc
+from tidemark.llm import packing
+import public_tokenizers
+
+with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+    definition = f.read()
+texts = [" ".join("".join(chr(97 + i * p // 26**j % 26) for j in range(6)) for i in range(k, k + 2000)) for p in [7919] for k in range(0, 60_000, 2000)]
+
+
+def anon():
+    ctypes.CDLL(None).malloc_trim(0)
+    with open("/proc/self/smaps_rollup") as f:
+        return int(re.search(r"Pss_Anon:\\s+(\\d+)", f.read())[1])
+
+
+def one():
+    coder = packing.Encoder(definition)
+    for i in range(0, len(texts), 5):
+        coder.encode(texts[i : i + 5])
+    return coder
+
+
+for _ in range(3):
+    one()
+before = anon()
+for _ in range(8):
+    one()
+left = anon() - before
+tracemalloc.start()
+empty = packing.Encoder(definition)
+start = tracemalloc.get_traced_memory()[0]
+full = one()
+print((tracemalloc.get_traced_memory()[0] - 2 * start) // 1024, left)
+"""
+
+
+def test_encoders_hold_little_and_leave_nothing():
+    out = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, timeout=300, check=True, cwd=Path(__file__).parents[2])
+    held, left = map(int, out.stdout.split())
+    assert held < 4000  # 60,000 words
+    assert left < 3000
+
+
 def test_words_are_written_by_their_bytes():
     from tokenizers import pre_tokenizers
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,9 @@ from pyspark.sql import types as T
 
 from .common import by_value, map_arrow, slices, stage
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 by_value(__name__)
 
 WINDOW, CLOSING, BUCKETS, CACHE_WORDS = 2048, 1, 256, 150_000
@@ -49,21 +53,24 @@ class Encoder:
     The tokenizer splits a text before it merges, so the ids of a text are those of its words. Texts are split many at a
     time, by classes of their characters; a word is known by a 64-bit hash of its characters, and only words not met before
     go through the tokenizer. Texts with anything that this leaves open (characters from ``LIMIT`` on or without a class, special
-    tokens, very long words) go through the tokenizer as a whole. Words are kept in two generations: once there are
-    CACHE_WORDS in the young one it becomes the old one, and what is still in use moves back.
+    tokens, very long words) go through the tokenizer as a whole. Words are kept in arrays, by hash, not as objects, and in
+    two generations: once there are CACHE_WORDS in the young one it becomes the old one, and what is still in use moves back.
     """
 
     def __init__(self, definition: str):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_str(definition)
+        # the whole tokenizer is made for the first text that needs it
+        self.definition, self.tokenizer = definition, None
         # the same merges for words that are cut, normalised and written by their bytes already
-        self.bare = Tokenizer.from_str(definition)
+        self.bare = self.made()
         self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
-        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
-        self.young: dict[int, bytes] = {}
-        self.old: dict[int, bytes] = {}
+        self.last = np.zeros(self.bare.get_vocab_size(), bool)
+        self.last[[i for token, i in self.bare.get_vocab().items() if token.endswith("</w>")]] = True
+        # words by hash, ascending; a word's ids are the ``many`` from ``first`` on in ``flat``
+        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, "<u4")
+        self.first, self.many = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.young = np.zeros(0, bool)
         kinds = {"L": LETTER, "N": NUMBER}
         self.kind = np.array([SPACE if chr(i).isspace() else kinds.get(c[0], ODD if c in ("Cc", "Cn", "Cs", "Co") else OTHER) for i in range(LIMIT) for c in [unicodedata.category(chr(i))]] + [ODD], np.uint8)
         self.kind[[*range(9), *range(11, 32), *range(127, 160)]] = ODD
@@ -71,7 +78,18 @@ class Encoder:
         self.mix = rng.integers(0, 1 << 64, LIMIT + 1, np.uint64)
         self.place = rng.integers(0, 1 << 63, MOST_LETTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 
+    def made(self) -> Tokenizer:
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_str(self.definition)
+        # its own cache of words outlives it, in every thread that filled it, and a worker makes one tokenizer a task
+        if resize := getattr(out.model, "_resize_cache", None):
+            resize(0)
+        return out
+
     def whole(self, text: str) -> np.ndarray:
+        if self.tokenizer is None:
+            self.tokenizer = self.made()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def words(self, code: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,31 +144,42 @@ class Encoder:
         mixed *= self.place[of]
         hashes = np.add.reduceat(mixed, starts)
         keys, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.young) > CACHE_WORDS:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        known = keys.tolist()
-        parts = list(map(young.get, known))
-        for i in [i for i, p in enumerate(parts) if p is None] if old else ():
-            if (got := old.get(known[i])) is not None:
-                young[known[i]] = parts[i] = got
-        if new := [i for i, p in enumerate(parts) if p is None]:
+        if np.count_nonzero(self.young) > CACHE_WORDS:
+            self.drop_old()
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        new = np.flatnonzero(~known)
+        if len(new):
             words = [joined[a:b] for a, b in zip(begin[where[new]].tolist(), end[where[new]].tolist())]
-            ids = np.array(self.bare.encode_batch_fast([by_bytes(" ".join(words))], add_special_tokens=False)[0].ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
-            if len(ends) != len(words):
-                raise AssertionError("a word has no end")
-            data = ids.tobytes()
-            for i, x, y in zip(new, [0, *ends], ends):
-                young[known[i]] = parts[i] = data[x:y]
-        many = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat = np.frombuffer(b"".join(parts), "<u4")
-        each = many[inverse]
-        ends = np.cumsum(each)
-        return flat[np.arange(ends[-1]) + np.repeat((np.cumsum(many) - many)[inverse] - (ends - each), each)], ends
-
-
-def chunks(ids: list, texts: list, letters: int = 800_000) -> Iterator[tuple[list, list[str]]]:
+            self.learn(keys[new], at[new], words)
+            at += np.cumsum(~known) - ~known
+        self.young[at] = True
+        each = self.many[at][inverse]
+        ends = np.cumsum(each, dtype=np.int64)
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.first[at][inverse] - (ends - each), each)], ends
+
+    def learn(self, keys: np.ndarray, at: np.ndarray, words: list[str]) -> None:
+        """Puts words not met before, of ascending hashes ``keys``, in at the places ``at``."""
+        ids = np.array(self.bare.encode_batch_fast([by_bytes(" ".join(words))], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            raise AssertionError("a word has no end")
+        many = np.diff(ends, prepend=0)
+        self.first = np.insert(self.first, at, len(self.flat) + ends - many)
+        self.many, self.keys = np.insert(self.many, at, many), np.insert(self.keys, at, keys)
+        self.young, self.flat = np.insert(self.young, at, True), np.concatenate([self.flat, ids])
+
+    def drop_old(self) -> None:
+        """Leaves out the words of the old generation; the young one becomes the old one."""
+        first, many = self.first[self.young], self.many[self.young]
+        ends = np.cumsum(many)
+        self.flat = self.flat[np.arange(ends[-1]) + np.repeat(first - (ends - many), many)]
+        self.first, self.many, self.keys = (ends - many).astype(np.int32), many, self.keys[self.young]
+        self.young = np.zeros(len(many), bool)
+
+
+def chunks(ids: list, texts: list, letters: int = 300_000) -> Iterator[tuple[list, list[str]]]:
     """Rows with some ``letters`` characters together; a longer text is alone."""
     start, held = 0, 0
     for i, t in enumerate(texts):
