@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import itertools
 import struct
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +13,7 @@ from ..dsl import Shell
 from ..functions import bloom
 from ..operators import layout, reads, replay, resolve
 from ..sources import commands, runs, tables, workload
-from ..store import Store
+from ..store import Store, folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,14 +104,6 @@ def exact_fences(log: DataFrame) -> DataFrame:
     return layout.fences(layout.runs(log))
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; below a temporary one where that is unset in local mode."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(base or 'file://' + tempfile.mkdtemp(prefix='tidemark-')).rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def files_of(spark: SparkSession, path: str):
     """The Hadoop path class and the file system of a path."""
     to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -218,11 +208,10 @@ def binary_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def shell_answers(spark: SparkSession, d: str) -> DataFrame:
-    """What the shell says to every event as a command, then to three ranges. All writes stay in the memtable."""
+    """What the shell says to every event as a command, then to three ranges. Fewer than 2^20 keys stay in the memtable."""
     ops = tables.event_ops(spark, d).select("seq", F.concat_ws(" ", "op", "key", F.when(F.col("op") == "p", F.col("value").cast("int"))).alias("line"))
     ends = spark.createDataFrame([(1 << 40, f"r {LOW} {HIGH}"), ((1 << 40) + 1, f"r {HIGH} {LOW}"), ((1 << 40) + 2, "r -2147483648 2147483647")], "seq long, line string")
-    said = Shell(spark, folder(spark), capacity=1 << 20).run(ops.union(ends))
-    return spark.createDataFrame(list(enumerate(said)), "n long, answer string")
+    return Shell(spark, folder(spark), capacity=1 << 20).answers(ops.union(ends))
 
 
 def wide_ranges(spark: SparkSession, d: str) -> DataFrame:
